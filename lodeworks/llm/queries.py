@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import decontamination_report
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .substring_dedup import substring_dedup
 from .url_filter import url_filter
 
 #: The rules of op4: allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/.
@@ -19,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     return url_filter(table(spark, sf_dir, "pages"), rules)
@@ -40,6 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op3_substring_dedup,
         op4_url_filter,
         op5_chat_format,
         op7_decontamination,
@@ -55,6 +61,15 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t""",
+    "op3_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM g JOIN r ON g.h = r.h) GROUP BY doc_id),
+k AS (SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) u
+  ANTI JOIN (SELECT doc_id, unnest(p) AS i FROM c) x ON u.doc_id = x.doc_id AND u.i = x.i GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(c.p), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op4_url_filter": r"""
 WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
