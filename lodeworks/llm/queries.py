@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import decontamination_report
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
 
@@ -37,6 +38,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +54,7 @@ QUERIES = {
         op4_url_filter,
         op5_chat_format,
         op7_decontamination,
+        op8_near_dedup,
         op10_mixing,
     )
 }
