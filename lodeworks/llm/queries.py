@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
+from .token_store import token_output, vocabulary_path
 from .url_filter import url_filter
 
 #: The rules of op4: allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/.
@@ -42,6 +43,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), vocabulary_path(spark))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ QUERIES = {
         op5_chat_format,
         op7_decontamination,
         op8_near_dedup,
+        op9_token_store,
         op10_mixing,
     )
 }
