@@ -48,16 +48,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this process.
+def written() -> list[tuple[SparkSession, str]]:
+    """The intermediate tables of this process that still exist, oldest first."""
+    return list(_written)
+
+
+def release(spark: SparkSession, tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete intermediate tables, all by default.
 
     Call it once the results built on them have been written.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        _, path = _written.pop()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    for entry in written() if tables is None else tables:
+        if entry in _written:
+            _written.remove(entry)
+            p = jvm.org.apache.hadoop.fs.Path(entry[1])
+            p.getFileSystem(conf).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,8 +10,10 @@ from .decontaminate import decontamination_report
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .token_store import token_output, vocabulary_path
+from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
 #: The rules of op4: allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/.
@@ -22,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,9 +65,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_toxicity,
         op3_substring_dedup,
         op4_url_filter,
         op5_chat_format,
+        op6_quality,
         op7_decontamination,
         op8_near_dedup,
         op9_token_store,
