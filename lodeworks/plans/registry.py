@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import domain, relational
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(relational.QUERIES)
+    return relational.QUERIES | domain.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.SQL)
+    return relational.SQL | domain.SQL
