@@ -57,7 +57,7 @@ def _exploded(df: DataFrame, keep: list[Column | str], words: str, lens: list[in
     n = F.size(words)
     slot = F.floor(at / n).cast("int")
     return (
-        df.select(*keep, words, F.posexplode(F.concat(*[F.col(f"__h{k}") for k in lens])).alias("__at", "hash"))
+        df.select(*keep, words, F.posexplode_outer(F.concat(*[F.col(f"__h{k}") for k in lens])).alias("__at", "hash"))
         .withColumn("pos", (at % n).cast("int"))
         .withColumn("len", F.element_at(F.array(*[F.lit(k) for k in lens]), slot + 1) if len(lens) > 1 else F.lit(lens[0]))
         .where(F.col("pos") + F.col("len") <= n)
