@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import TEXT_LIMIT, IgnoreRules, detect_language, extension, truncate_utf8
 
 #: Folders never entered.
-SKIPPED = (".git", ".codememory")
+SKIPPED = (".git", ".lodeworks")
 
 
 def relative_path(uri, root: str):
