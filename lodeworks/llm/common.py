@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Runs of ASCII white space, and of anything else, as Java and RE2 both read them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,24 +66,13 @@ def release(spark: SparkSession, tables: list[tuple[SparkSession, str]] | None =
             p.getFileSystem(conf).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of any cluster; once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lodeworks_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    at = Path(tempfile.mkdtemp()) / "lodeworks_package.zip"  # read by the driver, which serves it to the executors
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(at))
-    sc._lodeworks_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+__all__ = ["SPACE", "WORD", "crc_fold", "materialize", "new_path", "release", "shared_dir", "ship", "small", "table", "written"]
+
+
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
