@@ -6,8 +6,9 @@ A shard is one file::
 
 A block holds some documents in key order, its keys prefix-compressed. An entry
 is varint(shared key bytes), varint(other key bytes), varint(token count), the
-other key bytes, the tokens as little-endian uint32. A block ends with the crc32
-of its bytes. The index has, per block, the first key, its offset, length and
+other key bytes, the tokens as little-endian unsigned integers of 2 bytes where
+the vocabulary allows it, else 4. A block is stored compressed (zstd), after its
+length and followed by the crc32 of what is stored. The index has, per block, the first key, its offset, length and
 entry count, the tokens before it in the shard; the Bloom filter answers "not
 here" for keys without touching a block; the footer (fixed size) says where index
 and filter are, with counts and a magic number.
@@ -24,10 +25,12 @@ speculative tasks leave nothing that is read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -41,7 +44,7 @@ from .common import materialize, new_path, ship
 
 MAGIC = 0x4C57535354313031
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 32 << 20
-_FOOTER = struct.Struct("<QQQQQQQ")  # index at, index bytes, bloom at, bloom bytes, documents, tokens, magic
+_FOOTER = struct.Struct("<QQQQQQQQ")  # index at, index bytes, bloom at, bloom bytes, documents, tokens, bytes to a token, magic
 _INDEX = struct.Struct("<QIIQ")  # offset, bytes, entries, tokens before
 _BITS, _HASHES = 10, 7
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,8 +91,8 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard to a binary stream; documents come in key order."""
 
-    def __init__(self, out, block_bytes: int = BLOCK_BYTES):
-        self.out, self.block_bytes = out, block_bytes
+    def __init__(self, out, width: int = 4, block_bytes: int = BLOCK_BYTES):
+        self.out, self.width, self.block_bytes = out, width, block_bytes
         self.at = self.documents = self.tokens = 0
         self.index: list[bytes] = []
         self.keys: list[int] = []
@@ -101,11 +104,12 @@ class ShardWriter:
             self.first, shared, self.before = key, 0, self.tokens
         else:
             shared = next((i for i, (x, y) in enumerate(zip(self.last, key)) if x != y), min(len(self.last), len(key)))
-        part = b"".join((_varint(shared), _varint(len(key) - shared), _varint(len(ids) // 4), key[shared:], ids))
+        n = len(ids) // self.width
+        part = b"".join((_varint(shared), _varint(len(key) - shared), _varint(n), key[shared:], ids))
         self.block.append(part)
         self.held += len(part)
         self.last, self.entries = key, self.entries + 1
-        self.documents, self.tokens = self.documents + 1, self.tokens + len(ids) // 4
+        self.documents, self.tokens = self.documents + 1, self.tokens + n
         self.keys.append((zlib.crc32(key) << 32) | (zlib.crc32(key, 0x9747B28C) | 1))
         if self.held >= self.block_bytes:
             self._flush()
@@ -114,6 +118,7 @@ class ShardWriter:
         if not self.entries:
             return
         data = b"".join(self.block)
+        data = struct.pack("<I", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
         data += struct.pack("<I", zlib.crc32(data))
         self.out.write(data)
         self.index.append(_varint(len(self.first)) + self.first + _INDEX.pack(self.at, len(data), self.entries, self.before))
@@ -131,7 +136,7 @@ class ShardWriter:
         packed = np.packbits(bloom).tobytes()
         self.out.write(index)
         self.out.write(struct.pack("<Q", bits) + packed)
-        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), 8 + len(packed), self.documents, self.tokens, MAGIC))
+        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), 8 + len(packed), self.documents, self.tokens, self.width, MAGIC))
 
 
 class ShardReader:
@@ -143,7 +148,7 @@ class ShardReader:
         if size < _FOOTER.size:
             raise ValueError("not a token shard")
         file.seek(size - _FOOTER.size)
-        index_at, index_n, bloom_at, bloom_n, self.documents, self.tokens, magic = _FOOTER.unpack(file.read(_FOOTER.size))
+        index_at, index_n, bloom_at, bloom_n, self.documents, self.tokens, self.width, magic = _FOOTER.unpack(file.read(_FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         file.seek(index_at)
@@ -167,6 +172,7 @@ class ShardReader:
         data = self.file.read(length)
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"block {i} is damaged")
+        data = pa.decompress(data[4:-4], struct.unpack_from("<I", data)[0], codec="zstd", asbytes=True)
         key, at = b"", 0
         for _ in range(entries):
             shared, at = _read_varint(data, at)
@@ -174,8 +180,8 @@ class ShardReader:
             n, at = _read_varint(data, at)
             key = key[:shared] + data[at : at + other]
             at += other
-            yield key, data[at : at + 4 * n]
-            at += 4 * n
+            yield key, data[at : at + self.width * n]
+            at += self.width * n
 
     def __iter__(self) -> Iterator[tuple[bytes, bytes]]:
         for i in range(len(self.blocks)):
@@ -191,7 +197,7 @@ class ShardReader:
         while i > 0 and firsts[i] == key:
             i -= 1
         while i < len(self.blocks) and (firsts[i] <= key or not found and i == 0):
-            found += [np.frombuffer(v, "<u4") for k, v in self._block(i) if k == key]
+            found += [np.frombuffer(v, f"<u{self.width}").astype("<u4") for k, v in self._block(i) if k == key]
             i += 1
         return found
 
@@ -206,46 +212,47 @@ class Encoder:
     pieces known are bounded: two generations of ``most`` each.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.most, self.young, self.old = most, {}, {}
+        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.most, self.young, self.old = most, {}, {}  # word after a space -> ids of space and word
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.young) + len(pieces) > self.most:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        known = {w: self.old[w] for w in words if w in self.old}
+        new = [w for w in words if w not in known]
+        for i in range(0, len(new), 20_000):
+            known.update(zip(new[i : i + 20_000], self._encode([" " + w for w in new[i : i + 20_000]]), strict=True))
+        if len(self.young) + len(known) > self.most:
             self.old, self.young = self.young, {}
-        self.young.update(zip(pieces, self._encode(pieces), strict=True))
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            pieces = text.split(" ")
-            if "" in pieces or not text or not _plain(text):
-                yield self._encode([text])[0] if text else b""
-                continue
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            young, old = self.young, self.old
-            new = []
-            for p in set(pieces):
-                if p not in young:
-                    if p in old:
-                        young[p] = old[p]
-                    else:
-                        new.append(p)
-            for i in range(0, len(new), 20_000):
-                self._learn(new[i : i + 20_000])
-            young, old = self.young, self.old
-            try:
-                yield b"".join([young[p] for p in pieces])
-            except KeyError:  # more new pieces than the memory holds
-                yield self._encode([text])[0]
-
-
-_EDGES = __import__("re").compile(r"[^\S ] | [^\S ]")
+        self.young.update(known)
+        return known
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 64):
+            part = [t.split(" ") for t in texts[at : at + 64]]
+            plain = [bool(t) and "" not in w and _plain(t) for t, w in zip(texts[at : at + 64], part, strict=True)]
+            whole = iter(self._encode([w[0] if ok else t for t, w, ok in zip(texts[at : at + 64], part, plain, strict=True)]))
+            for words, ok in zip(part, plain, strict=True):
+                ids = next(whole)  # of the text, or of its first word
+                if not ok or len(words) == 1:
+                    yield ids
+                    continue
+                del words[0]
+                found = list(map(self.young.get, words))
+                if None in found:
+                    known = self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+                    found = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
+                yield ids + b"".join(found)
+
+
+_EDGES = re.compile(r"[^\S ] | [^\S ]")
 
 
 def _plain(text: str) -> bool:
@@ -273,7 +280,8 @@ def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, part, writer, out, low, last, file = task.partitionId(), 0, None, None, None, None, ""
-        enc, end = encoder(vocabulary), struct.pack("<I", end_id)
+        enc = encoder(vocabulary)
+        end = struct.pack("<H" if enc.width == 2 else "<I", end_id)
         fs, root = open_store(path)
         fs.create_dir(root, recursive=True)
 
@@ -284,12 +292,12 @@ def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int):
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = (t.as_py() for t in batch.column("text"))
+            texts = batch.column("text").to_pylist()
             for doc_id, data in zip(ids, enc.encode(texts), strict=True):
                 if writer is None:
                     file = f"{shard:06d}-{part:04d}-{task.taskAttemptId()}.sst"
                     out = fs.open_output_stream(f"{root}/{file}")
-                    writer, low = ShardWriter(out), doc_id
+                    writer, low = ShardWriter(out, enc.width), doc_id
                 writer.add(key_of(doc_id), data + end)
                 last = doc_id
                 if writer.at >= shard_bytes:
@@ -330,12 +338,13 @@ def _read(path: str):
             for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{file}") as f:
                     ids, starts, counts, sums = [], [], [], []
-                    for key, data in ShardReader(f):
+                    shard = ShardReader(f)
+                    for key, data in shard:
                         ids.append(id_of(key))
                         starts.append(before)
-                        counts.append(len(data) // 4)
-                        sums.append(zlib.crc32(data))
-                        before += len(data) // 4
+                        counts.append(len(data) // shard.width)
+                        sums.append(zlib.crc32(np.frombuffer(data, f"<u{shard.width}").astype("<u4")))
+                        before += counts[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
