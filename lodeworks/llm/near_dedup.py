@@ -11,9 +11,9 @@ probability equal to their probability Jaccard similarity.
 Registers are hashed in bands; texts that share a band are candidates, and every
 pair compared is verified on its full shingle sets. Inside a bucket texts meet
 one leader, not each other: a bucket of n texts costs n - 1 comparisons. Texts
-that fail against the leader meet, in further rounds, other members of the
-classes found so far, drawn anew for each bucket and round, until two rounds
-bring no new link.
+that fail against the leader meet, in further rounds, members of the bucket's
+largest class, drawn anew for each bucket and round: two in the second round, and
+twice as many in each round after that, until a round brings no new link.
 """
 
 from __future__ import annotations
@@ -173,17 +173,28 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     which halves chains; every step works on tables in the shared folder.
     """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("a", "b"), label)
-    labels = materialize(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("v"), "label"), label)
+    labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("v"), "label")
     while True:
+        labels = materialize(labels, label)
+        up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
         near = edges.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("v") == F.col("a")).select("v", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
         after = materialize(low.join(up, F.col("low") == F.col("u")).select("v", F.least("low", "up").alias("label"), "old"), label)
         if after.where("label <> old").isEmpty():
             return after.select("v", "label")
         labels = after.select("v", "label")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(v, label) after further links(a, b): components of the labels they join, which are few."""
+    own = labels.select(F.col("v").alias("u"), F.col("label").alias("l"))
+    ends = links.join(own, F.col("a") == F.col("u"), "left").select(F.coalesce("l", "a").alias("a"), "b").join(own, F.col("b") == F.col("u"), "left").select("a", F.coalesce("l", "b").alias("b"))
+    over = components(ends).select(F.col("v").alias("o"), F.col("label").alias("new"))
+    new_ends = over.select(F.col("o").alias("v"), F.col("o").alias("label")).join(labels, "v", "left_anti")
+    every = labels.unionByName(new_ends)
+    return materialize(every.join(over, F.col("label") == F.col("o"), "left").select("v", F.coalesce("new", "label").alias("label")), "near-labels")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(texts, keyed). texts: k1, k2, rep (its smallest id), class_id, class_size and head
     (whether it is its class's first) per distinct text; keyed: doc_id, k1, k2 per row of docs."""
@@ -209,29 +220,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     bodies = materialize(found.select("tid", "text"), "near-bodies")
 
     checked = pairs
-    result = materialize(_verified(pairs, bodies, least), "near-links")
-    links = result.where("similar").select("a", "b")
+    links = materialize(_verified(pairs, bodies, least).where("similar").select("a", "b"), "near-links")
     labels = components(links)
-    quiet, turn = 0, 0
-    while quiet < 2:
-        turn += 1
-        # one member of each class in each bucket, drawn anew; the bucket's first meets the others
+    draws = 1
+    while True:
+        draws *= 2
+        # buckets that still hold several classes: one text of each other class meets `draws` texts of the largest
         placed = members.join(labels, F.col("tid") == F.col("v"), "left").select("h", "tid", F.coalesce("label", "tid").alias("label"))
-        draw = F.struct(F.xxhash64("tid", "h", F.lit(turn)).alias("x"), F.col("tid").alias("tid"), F.col("label").alias("label"))
-        drawn = placed.groupBy("h", "label").agg(F.min(draw).alias("d"))
-        several = drawn.groupBy("h").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("fh"), F.col("first.tid").alias("a"), F.col("first.label").alias("al"))
-        met = drawn.join(several, F.col("h") == F.col("fh")).where("label <> al").select(F.least("a", "d.tid").alias("a"), F.greatest("a", "d.tid").alias("b")).distinct()
+        order = F.struct(F.xxhash64("h", "tid", F.lit(-draws)).alias("x"), F.col("tid").alias("tid"))
+        per = placed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("d"))
+        open_ = per.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("oh"), "first")
+        # `draws` slots, each with the lowest of a random order
+        slot = F.pmod(F.xxhash64("tid", "h", F.lit(draws)), F.lit(draws))
+        firsts = placed.join(open_, (F.col("h") == F.col("oh")) & (F.col("label") == F.col("first"))).groupBy("h", slot.alias("slot")).agg(F.min(order).alias("d")).select(F.col("h").alias("fh"), F.col("d.tid").alias("a"))
+        others = per.join(open_, F.col("h") == F.col("oh")).where("label <> first").select("h", F.col("d.tid").alias("b"))
+        met = others.join(firsts, F.col("h") == F.col("fh")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = materialize(met.join(checked, ["a", "b"], "left_anti"), "near-pairs")
         if fresh.isEmpty():
             break
-        more = materialize(_verified(fresh, bodies, least), "near-links").where("similar").select("a", "b")
+        more = materialize(_verified(fresh, bodies, least).where("similar").select("a", "b"), "near-links")
         checked = checked.unionByName(fresh)
         if more.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = links.unionByName(more)
-        labels = components(links)
+            break
+        labels = _merged(labels, more)
 
     classed = texts.join(labels, F.col("tid") == F.col("v"), "left").select("k1", "k2", "rep", "copies", F.coalesce("label", "tid").alias("label"))
     first = F.struct(F.col("rep").isNull().alias("n"), "rep", "k1", "k2")
