@@ -11,9 +11,10 @@ probability equal to their probability Jaccard similarity.
 Registers are hashed in bands; texts that share a band are candidates, and every
 pair compared is verified on its full shingle sets. Inside a bucket texts meet
 one leader, not each other: a bucket of n texts costs n - 1 comparisons. Texts
-that fail against the leader meet, in further rounds, members of the bucket's
-largest class, drawn anew for each bucket and round: two in the second round, and
-twice as many in each round after that, until a round brings no new link.
+that fail against the leader meet, in further rounds, texts drawn from the
+bucket's other classes, anew for each bucket and round: one text of each class
+meets two, then four, eight and so on, until a round of eight or more brings no
+new link. In a bucket of few texts that is all of them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many candidate keys (three longs each) may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Texts that one of each class meets in the last round at least.
+LEAST_DRAWS = 8
 #: Members that meet a leader in one task.
 BLOCK = 256
 
@@ -225,24 +228,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     draws = 1
     while True:
         draws *= 2
-        # buckets that still hold several classes: one text of each other class meets `draws` texts of the largest
+        # buckets that still hold several classes: one text of each class meets `draws` texts of other classes
         placed = members.join(labels, F.col("tid") == F.col("v"), "left").select("h", "tid", F.coalesce("label", "tid").alias("label"))
-        order = F.struct(F.xxhash64("h", "tid", F.lit(-draws)).alias("x"), F.col("tid").alias("tid"))
-        per = placed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("d"))
-        open_ = per.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("oh"), "first")
-        # `draws` slots, each with the lowest of a random order
+        order = F.struct(F.xxhash64("h", "tid", F.lit(-draws)).alias("x"), F.col("tid").alias("tid"), F.col("label").alias("label"))
+        per = placed.groupBy("h", "label").agg(F.min(order).alias("d"))
+        open_ = per.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("oh"))
+        # `draws` slots, each with the lowest of a random order: all texts of a bucket of few
         slot = F.pmod(F.xxhash64("tid", "h", F.lit(draws)), F.lit(draws))
-        firsts = placed.join(open_, (F.col("h") == F.col("oh")) & (F.col("label") == F.col("first"))).groupBy("h", slot.alias("slot")).agg(F.min(order).alias("d")).select(F.col("h").alias("fh"), F.col("d.tid").alias("a"))
-        others = per.join(open_, F.col("h") == F.col("oh")).where("label <> first").select("h", F.col("d.tid").alias("b"))
-        met = others.join(firsts, F.col("h") == F.col("fh")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        drawn = placed.join(open_, F.col("h") == F.col("oh")).groupBy("h", slot.alias("slot")).agg(F.min(order).alias("d")).select(F.col("h").alias("fh"), F.col("d.tid").alias("a"), F.col("d.label").alias("al"))
+        ones = per.join(open_, F.col("h") == F.col("oh")).select("h", F.col("d.tid").alias("b"), F.col("label").alias("bl"))
+        met = ones.join(drawn, (F.col("h") == F.col("fh")) & (F.col("al") != F.col("bl"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = materialize(met.join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            break
         more = materialize(_verified(fresh, bodies, least).where("similar").select("a", "b"), "near-links")
         checked = checked.unionByName(fresh)
-        if more.isEmpty():
+        if not more.isEmpty():
+            labels = _merged(labels, more)
+        elif draws >= LEAST_DRAWS:
             break
-        labels = _merged(labels, more)
 
     classed = texts.join(labels, F.col("tid") == F.col("v"), "left").select("k1", "k2", "rep", "copies", F.coalesce("label", "tid").alias("label"))
     first = F.struct(F.col("rep").isNull().alias("n"), "rep", "k1", "k2")
