@@ -25,7 +25,6 @@ speculative tasks leave nothing that is read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from array import array
@@ -209,16 +208,20 @@ class Encoder:
     characters that are no white space. The byte-level pre-tokenizer always cuts
     there as well and merges never cross its cuts, so the ids of the pieces are
     the ids of the text. Texts with other runs of spaces are encoded whole. The
-    pieces known are bounded: two generations of ``most`` each.
+    pieces known are bounded: two generations of ``most`` each. New pieces are
+    encoded many to a text, whose ids part again at each token that begins with
+    a space.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.most, self.young, self.old = most, {}, {}  # word after a space -> ids of space and word
+        self.begins = np.zeros(self.model.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level letter of a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == 2 else "I"
@@ -227,13 +230,21 @@ class Encoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         known = {w: self.old[w] for w in words if w in self.old}
         new = [w for w in words if w not in known]
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._encode([" " + w for w in new[i : i + 20_000]]), strict=True))
+        for i in range(0, len(new), 64):
+            known.update(zip(new[i : i + 64], self._parted(new[i : i + 64]), strict=True))
         if len(self.young) + len(known) > self.most:
             self.old, self.young = self.young, {}
         self.young.update(known)
         return known
 
+    def _parted(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.model.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words) or at[0] or any(w[-1].isspace() for w in words):
+            return self._encode([" " + w for w in words])
+        raw, cuts = ids.tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
             part = [t.split(" ") for t in texts[at : at + 64]]
@@ -252,12 +263,12 @@ class Encoder:
                 yield ids + b"".join(found)
 
 
-_EDGES = re.compile(r"[^\S ] | [^\S ]")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 def _plain(text: str) -> bool:
     """No space stands next to other white space."""
-    return not _EDGES.search(text)
+    return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -359,7 +370,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     ship(manifest.sparkSession)
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", before.alias("before"))
-    return files.repartition(F.col("file")).mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarray]:
