@@ -97,11 +97,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.col(text_col)
     src = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("key"), raw_words(text).alias("w"))
     windows = _exploded(src, ["doc_id", "key"], "w", lens)
-    exact = _fold(F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " "))
+    # inside coalesce() the comparison is no join key: it is made for windows of equal hash only
+    exact = F.coalesce(_fold(F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")) == F.col("bwords"), F.lit(False))
     found = []
     for b in range(blocks):
         part = F.broadcast(known.where(F.pmod("hash", F.lit(blocks)) == b).withColumnRenamed("hash", "bh"))
-        found.append(windows.join(part, (F.col("hash") == F.col("bh")) & (F.col("len") == F.col("blen"))).where(exact == F.col("bwords")).select("doc_id", "key", "pos", "len", "items"))
+        found.append(windows.join(part, (F.col("hash") == F.col("bh")) & (F.col("len") == F.col("blen")) & exact).select("doc_id", "key", "pos", "len", "items"))
     return reduce(DataFrame.unionByName, found), src.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
 
 
