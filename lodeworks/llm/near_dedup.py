@@ -9,12 +9,12 @@ all shingles of an ordinary text emit once. Two texts agree in a register with
 probability equal to their probability Jaccard similarity.
 
 Registers are hashed in bands; texts that share a band are candidates, and every
-pair compared is verified on its full shingle sets. Inside a bucket texts meet
-one leader, not each other: a bucket of n texts costs n - 1 comparisons. Texts
-that fail against the leader meet, in further rounds, texts drawn from the
-bucket's other classes, anew for each bucket and round: one text of each class
-meets two, then four, eight and so on, until a round of eight or more brings no
-new link. In a bucket of few texts that is all of them.
+pair compared is verified on its full shingle sets. Inside a bucket texts first
+meet one leader: a bucket of n texts costs n - 1 comparisons. Buckets that then
+still hold texts of several classes are compared whole: their texts are dealt to
+blocks, and of every two blocks all pairs of different classes are compared at
+once, by products of matrices (text x shingle). So no pair that shares a band is
+left out; the products grow with the square of such a bucket.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many candidate keys (three longs each) may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
-#: Texts that one of each class meets in the last round at least.
-LEAST_DRAWS = 8
+#: Texts in a block of a bucket that is compared whole, and shingles in one product.
+CROSS_BLOCK, COLUMNS = 512, 4096
 #: Members that meet a leader in one task.
 BLOCK = 256
 
@@ -169,6 +169,123 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return sides.select("a", "id", word_hashes(F.col("text")).alias("wh")).mapInArrow(_verify(least), "a long, b long, similarity double, similar boolean")
 
 
+def _class_links(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels that join the classes linked by any pair of texts: of one side each, or of the one side there is.
+
+    Texts are 0 ... len(labels) - 1; rows, hashes, counts are their weighted
+    shingle sets. With texts' weights scaled to a sum of 1, M the mass of x and N
+    that of y on common shingles, probability Jaccard is at most
+    1 / (1/M + (1-N)/N): it is computed only where that bound, and the same with
+    x and y exchanged, allow a link that plain Jaccard does not give.
+    """
+    n = len(labels)
+    ends = np.searchsorted(rows, np.arange(n + 1))
+    sizes = np.diff(ends)
+    heavy = np.zeros(n, bool)
+    heavy[rows[counts > 1]] = True
+    mass = counts / np.bincount(rows, counts, n)[rows]
+    x = np.flatnonzero(sides == sides.min())
+    y = np.flatnonzero(sides == sides.max())
+    at = np.zeros(n, int)
+    at[x], at[y] = np.arange(len(x)), np.arange(len(y))
+    _, column, texts = np.unique(hashes, return_inverse=True, return_counts=True)
+    several = texts > 1
+    column = np.where(several, np.cumsum(several) - 1, -1)[column]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    common = np.zeros((len(x), len(y)), np.float32)
+    mass_x, mass_y = np.zeros_like(common), np.zeros_like(common)
+    starts = np.arange(0, several.sum() + COLUMNS, COLUMNS)
+    for first, i, j in zip(starts, (cuts := np.searchsorted(column[order], starts)), cuts[1:]):
+        o = order[i:j]
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[rows[o], column[o] - first] = 1
+        common += has[x] @ has[y].T
+        if heavy.any():
+            share = np.zeros_like(has)
+            share[rows[o], column[o] - first] = mass[o]
+            mass_x += share[x] @ has[y].T
+            mass_y += has[x] @ share[y].T
+    both = common.astype(float)
+    apart = (labels[x][:, None] != labels[y]) & (both > 0)
+    plain = both / np.maximum(sizes[x][:, None] + sizes[y] - both, 1)
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.get(v, v)) != v:
+            parent[v] = parent.get(up, up)
+            v = up
+        return v
+
+    out = []
+
+    def join(a: int, b: int) -> None:
+        if (a := root(a)) != (b := root(b)):
+            parent[max(a, b)] = min(a, b)
+            out.append((min(a, b), max(a, b)))
+
+    i, j = np.nonzero(apart & (plain >= least))
+    for a, b in np.unique(np.stack([labels[x[i]], labels[y[j]]], 1), axis=0).tolist():
+        join(a, b)
+    if heavy.any():
+        m, k = np.maximum(mass_x, 1e-9).astype(float), np.maximum(mass_y, 1e-9).astype(float)
+        most = np.minimum(1 / (1 / m + (1 - k) / k), 1 / (1 / k + (1 - m) / m))
+        i, j = np.nonzero(apart & (plain < least) & (most >= least - 1e-3) & (heavy[x][:, None] | heavy[y]))
+        for a, b in zip(x[i].tolist(), y[j].tolist()):
+            if root(int(labels[a])) != root(int(labels[b])):
+                (p, q), (r, s) = ends[a : a + 2], ends[b : b + 2]
+                if similarity((hashes[p:q], counts[p:q]), (hashes[r:s], counts[r:s])) >= least:
+                    join(int(labels[a]), int(labels[b]))
+    return out
+
+
+def _cross(least: float):
+    """Rows sorted by (h, p, q): the links between classes of each two blocks, as (a, b) of labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            many = np.cumsum([0, *(len(x[3]) for x in held)])
+            parts = [np.r_[tuple(x[k] + (many[i] if k == 0 else 0) for i, x in enumerate(held))] for k in range(5)]
+            links = _class_links(*parts, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            h, p, q, label, side = (batch.column(c).to_numpy() for c in ("h", "p", "q", "label", "side"))
+            flat, off = list_column(batch, "wh")
+            for i, j in chunks(off):
+                rows, got, times = weighted(*shingle_hashes(flat[off[i] : off[j]], off[i : j + 1] - off[i]))
+                new = np.flatnonzero((np.diff(h[i:j]) != 0) | (np.diff(p[i:j]) != 0) | (np.diff(q[i:j]) != 0)) + 1
+                for s, e in zip([0, *new.tolist()], [*new.tolist(), j - i]):
+                    if key != (own := (h[i + s], p[i + s], q[i + s])):
+                        if held:
+                            yield done()
+                        key, held = own, []
+                    u, v = np.searchsorted(rows, [s, e])
+                    held.append((rows[u:v] - s, got[u:v], times[u:v], label[i + s : i + e], side[i + s : i + e]))
+        if held:
+            yield done()
+
+    return run
+
+
+def _crossed(members: DataFrame, labels: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the labels of texts that share a bucket of members and differ in class.
+
+    Buckets of the same texts count once, and a bucket of two has had its pair
+    compared. In a bucket of n blocks every text goes to n pairs of blocks.
+    """
+    placed = materialize(members.join(labels, F.col("tid") == F.col("v"), "left").select("h", "tid", F.coalesce("label", "tid").alias("label")), "near-placed")
+    per = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("x2"), "tid")).alias("x2"))
+    open_ = per.where("n > 2 AND low <> high").groupBy("n", "x", "x2").agg(F.min("h").alias("oh")).select("oh", F.ceil(F.col("n") / CROSS_BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(open_, F.col("h") == F.col("oh")).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    each = dealt.select("h", "tid", "label", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("h", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "tid", "label", "side")
+    rows = each.join(bodies.withColumnRenamed("tid", "t"), F.col("tid") == F.col("t")).select("h", "p", "q", "label", "side", "text")
+    sides = rows.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return sides.select("h", "p", "q", "label", "side", word_hashes(F.col("text")).alias("wh")).mapInArrow(_cross(least), "a long, b long").distinct()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """v, label for each end of links(a, b): the smallest end of its connected component.
 
@@ -222,29 +339,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         found = keyed.groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(wanted, match)
     bodies = materialize(found.select("tid", "text"), "near-bodies")
 
-    checked = pairs
     links = materialize(_verified(pairs, bodies, least).where("similar").select("a", "b"), "near-links")
     labels = components(links)
-    draws = 1
-    while True:
-        draws *= 2
-        # buckets that still hold several classes: one text of each class meets `draws` texts of other classes
-        placed = members.join(labels, F.col("tid") == F.col("v"), "left").select("h", "tid", F.coalesce("label", "tid").alias("label"))
-        order = F.struct(F.xxhash64("h", "tid", F.lit(-draws)).alias("x"), F.col("tid").alias("tid"), F.col("label").alias("label"))
-        per = placed.groupBy("h", "label").agg(F.min(order).alias("d"))
-        open_ = per.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("oh"))
-        # `draws` slots, each with the lowest of a random order: all texts of a bucket of few
-        slot = F.pmod(F.xxhash64("tid", "h", F.lit(draws)), F.lit(draws))
-        drawn = placed.join(open_, F.col("h") == F.col("oh")).groupBy("h", slot.alias("slot")).agg(F.min(order).alias("d")).select(F.col("h").alias("fh"), F.col("d.tid").alias("a"), F.col("d.label").alias("al"))
-        ones = per.join(open_, F.col("h") == F.col("oh")).select("h", F.col("d.tid").alias("b"), F.col("label").alias("bl"))
-        met = ones.join(drawn, (F.col("h") == F.col("fh")) & (F.col("al") != F.col("bl"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = materialize(met.join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        more = materialize(_verified(fresh, bodies, least).where("similar").select("a", "b"), "near-links")
-        checked = checked.unionByName(fresh)
-        if not more.isEmpty():
-            labels = _merged(labels, more)
-        elif draws >= LEAST_DRAWS:
-            break
+    more = materialize(_crossed(members, labels, bodies, least), "near-links")
+    if not more.isEmpty():
+        labels = _merged(labels, more)
 
     classed = texts.join(labels, F.col("tid") == F.col("v"), "left").select("k1", "k2", "rep", "copies", F.coalesce("label", "tid").alias("label"))
     first = F.struct(F.col("rep").isNull().alias("n"), "rep", "k1", "k2")

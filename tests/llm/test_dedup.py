@@ -196,3 +196,41 @@ def test_components(spark):
                 todo += want[x]
         assert got[a] == min(seen), a
     assert len(got) == len(want) and itertools
+
+
+def test_pairs_far_from_leaders_are_compared(spark):
+    r = random.Random(3)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    template, rows = text(164), []
+    for _ in range(240):
+        rows.append(template + text(40))
+    for _ in range(12):
+        own = text(20)
+        rows += [template + own + text(20) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    texts, _ = near.near_duplicate_classes(df, bands=6, per_band=1)
+    got = sorted((x["class_id"], x["rep"]) for x in texts.collect() if x["class_size"] > 1)
+    assert got == sorted((i, j) for i in range(240, 264, 2) for j in (i, i + 1))
+
+
+def test_class_links_are_those_of_similarity():
+    r = random.Random(8)
+    base = [r.choices("abcdefghijklmnop", k=24) for _ in range(4)]
+    texts = [Counter(tuple(b[:i] + r.choices("abcdefghijklmnopqrstuvw", k=24 - i))) for b in base for i in (20, 21, 22, 23, 24) for _ in range(4)]
+    sets = [arrays(Counter({hash((x, 7)): n for x, n in t.items()})) for t in texts]
+    sides = np.array([r.randrange(2) for _ in texts])
+    labels = np.arange(len(texts)) + 5
+    flat = [np.concatenate(x) for x in ([np.full(len(h), i) for i, (h, _) in enumerate(sets)], [h for h, _ in sets], [n for _, n in sets])]
+    for s in (sides, sides * 0):
+        got = near._class_links(*flat, labels, s, 0.8)
+        want = [(i, j) for i in range(len(texts)) for j in range(i) if (s[i] != s[j] or not s.any()) and near.similarity(sets[i], sets[j]) >= 0.8]
+        assert want
+
+        def classes(links):
+            c = {i: {i} for i in range(len(texts))}
+            for a, b in links:
+                for k in (u := c[a] | c[b]):
+                    c[k] = u
+            return {frozenset(x) for x in c.values()}
+
+        assert classes((a - 5, b - 5) for a, b in got) == classes(want)
