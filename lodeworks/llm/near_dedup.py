@@ -8,7 +8,9 @@ emitting when its next arrival is later than all the text's registers, so nearly
 all shingles of an ordinary text emit once. Two texts agree in a register with
 probability equal to their probability Jaccard similarity.
 
-Registers are hashed in bands; texts that share a band are candidates, and every
+A text with repeated shingles gets a second signature, of its distinct shingles,
+whose registers agree with probability plain Jaccard; for other texts both are
+the same. Registers are hashed in bands; texts that share a band are candidates, and every
 pair compared is verified on its full shingle sets. Inside a bucket texts first
 meet one leader: a bucket of n texts costs n - 1 comparisons. Buckets that then
 still hold texts of several classes are compared whole: their texts are dealt to
@@ -92,19 +94,31 @@ def prob_minhash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_ro
 
 
 def _banded(bands: int, per_band: int):
+    def keys(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        sig = prob_minhash(rows, hashes, weights, n, bands * per_band).reshape(-1, bands, per_band)
+        out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), sig.shape[:2])
+        for k in range(per_band):
+            out = pair(out, sig[:, :, k])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, off = list_column(batch, "wh")
             for i, j in chunks(off):
                 o = off[i : j + 1] - off[i]
                 rows, got, times = weighted(*shingle_hashes(flat[off[i] : off[j]], o))
-                sig = prob_minhash(rows, got, times.astype(np.float64), j - i, bands * per_band).reshape(-1, bands, per_band)
-                out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), sig.shape[:2])
-                for k in range(per_band):
-                    out = pair(out, sig[:, :, k])
                 full = np.diff(o) > 0
+                out = keys(rows, got, times.astype(np.float64), j - i)
+                heavy = np.zeros(j - i, bool)
+                heavy[rows[times > 1]] = True
+                again, on = np.flatnonzero(heavy), heavy[rows]
+                out = np.concatenate([out, out])
+                if len(again):
+                    out[j - i + again] = keys(np.searchsorted(again, rows[on]), got[on], np.ones(on.sum()), len(again))
+                # by text: its weighted keys, then, if a shingle repeats, those of its distinct shingles
+                out = out.reshape(2, j - i, bands).transpose(1, 0, 2)[np.stack([full, heavy], 1)]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k1", "k2")), to_lists(out[full].ravel().view(np.int64), np.where(full, bands, 0), pa.int64())], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k1", "k2")), to_lists(out.ravel().view(np.int64), bands * (full.astype(int) + heavy), pa.int64())], ["doc_id", "k1", "k2", "bands"])
 
     return run
 
@@ -326,7 +340,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")).withColumn("tid", F.monotonically_increasing_id()),
         "near-texts",
     )
-    exploded = texts.select("tid", F.explode("bands").alias("h"))
+    exploded = texts.select("tid", F.explode(F.array_distinct("bands")).alias("h"))
     shared = exploded.groupBy("h").agg(F.min("tid").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("sh"), "leader")
     members = materialize(exploded.join(shared, F.col("h") == F.col("sh")).select("h", "tid", "leader"), "near-buckets")
     pairs = materialize(members.where("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct(), "near-pairs")

@@ -234,3 +234,14 @@ def test_class_links_are_those_of_similarity():
             return {frozenset(x) for x in c.values()}
 
         assert classes((a - 5, b - 5) for a, b in got) == classes(want)
+
+
+def test_a_repeated_passage_hides_no_copy(spark):
+    r = random.Random(6)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        base = text(300)
+        rows += [base, base + text(8) * 100]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near.near_dedup(df).collect()} == {i: i - i % 2 for i in range(24)}
