@@ -54,7 +54,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"), vocabulary_path(spark))
+    return token_output(table(spark, sf_dir, "documents"), vocabulary_path(spark), special=True)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,13 +211,18 @@ class Encoder:
     pieces known are bounded: two generations of ``most`` each. New pieces are
     encoded many to a text, whose ids part again at each token that begins with
     a space.
+
+    With ``special``, text that spells an added token (``<|endoftext|>``) becomes
+    that token, as by the library's default; texts that hold one are encoded
+    whole. Else it is text like any other.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not special
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if special else []
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.most, self.young, self.old = most, {}, {}  # word after a space -> ids of space and word
         self.begins = np.zeros(self.model.get_vocab_size(), bool)
@@ -248,7 +253,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
             part = [t.split(" ") for t in texts[at : at + 64]]
-            plain = [bool(t) and "" not in w and _plain(t) for t, w in zip(texts[at : at + 64], part, strict=True)]
+            plain = [bool(t) and "" not in w and _plain(t) and not any(a in t for a in self.added) for t, w in zip(texts[at : at + 64], part, strict=True)]
             whole = iter(self._encode([w[0] if ok else t for t, w, ok in zip(texts[at : at + 64], part, plain, strict=True)]))
             for words, ok in zip(part, plain, strict=True):
                 ids = next(whole)  # of the text, or of its first word
@@ -271,27 +276,27 @@ def _plain(text: str) -> bool:
     return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder for each worker process, vocabulary and reading of special tokens."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special=special)
+    return _encoders[path, special]
 
 
 _MANIFEST = "shard int, part int, file string, documents long, tokens long, low long, high long"
 
 
-def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int):
+def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, part, writer, out, low, last, file = task.partitionId(), 0, None, None, None, None, ""
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special)
         end = struct.pack("<H" if enc.width == 2 else "<I", end_id)
         fs, root = open_store(path)
         fs.create_dir(root, recursive=True)
@@ -320,7 +325,7 @@ def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int):
     return run
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, special: bool = False) -> tuple[DataFrame, str]:
     """Encode docs and write the shards; (manifest, folder).
 
     ``path`` is a folder in a store that all executors share and pyarrow can
@@ -338,7 +343,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    manifest = materialize(ordered.mapInArrow(_write(path, vocabulary, end_id, shard_bytes), _MANIFEST), "token-manifest")
+    manifest = materialize(ordered.mapInArrow(_write(path, vocabulary, end_id, shard_bytes, special), _MANIFEST), "token-manifest")
     return manifest, path
 
 

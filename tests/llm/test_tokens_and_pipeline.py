@@ -134,3 +134,17 @@ def test_pipeline_runs_as_a_query(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     common.release(spark)
     assert common.written() == []
+
+
+def test_queries_read_special_tokens_as_the_library_does(spark, vocabulary, tmp_path):
+    from tokenizers import Tokenizer
+
+    from lodeworks.llm.queries import QUERIES
+
+    model = Tokenizer.from_file(vocabulary)
+    default = lambda text: model.encode(text, add_special_tokens=False).ids
+    rows = [(1, "a <|endoftext|> b"), (2, "plain words here"), (3, "<|endoftext|>"), (4, "x<|endoftext|><|endoftext|> y <|endoftext"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (QUERIES["op9_token_store"](spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, str(tmp_path))):
+        assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == expected(rows, default)
