@@ -10,13 +10,20 @@ probability equal to their probability Jaccard similarity.
 
 A text with repeated shingles gets a second signature, of its distinct shingles,
 whose registers agree with probability plain Jaccard; for other texts both are
-the same. Registers are hashed in bands; texts that share a band are candidates, and every
-pair compared is verified on its full shingle sets. Inside a bucket texts first
-meet one leader: a bucket of n texts costs n - 1 comparisons. Buckets that then
-still hold texts of several classes are compared whole: their texts are dealt to
-blocks, and of every two blocks all pairs of different classes are compared at
-once, by products of matrices (text x shingle). So no pair that shares a band is
-left out; the products grow with the square of such a bucket.
+the same. Registers are hashed in bands; texts that share a band are candidates,
+and every pair that counts is verified on its full shingle sets.
+
+Candidates are settled in two steps, neither of which drops any:
+
+1. Inside a bucket all texts meet one leader: n - 1 comparisons for n texts.
+   What they link is merged to classes.
+2. The texts of all buckets that still hold several classes are joined once by
+   prefix: with shingles ordered from rare to frequent, two texts at 0.8 share
+   one among the first fifth (by number or by weight) of each. Of two texts that
+   meet at a shingle, what is left of both from there on bounds their similarity;
+   only pairs of different classes whose bound reaches 0.8 are verified. Texts
+   whose own shingles make up a fifth meet nobody at all, so a template that
+   thousands of texts fill differently costs their number, not its square.
 """
 
 from __future__ import annotations
@@ -37,10 +44,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: So many candidate keys (three longs each) may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
-#: Texts in a block of a bucket that is compared whole, and shingles in one product.
-CROSS_BLOCK, COLUMNS = 512, 4096
-#: Members that meet a leader in one task.
-BLOCK = 256
+#: Texts of a prefix group in one block, and members that meet a leader in one task.
+GROUP_BLOCK, BLOCK = 1024, 256
+_EPS = 1e-9
 
 
 def words(text: Column) -> Column:
@@ -149,155 +155,199 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1.0 / (v_from[k] / vd + w_upto[k] / wd)).sum()))
 
 
+def _sides(batch: pa.RecordBatch, i: int, j: int, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted shingles of rows i to j: hashes, counts, where each row's begin, and which rows repeat one."""
+    rows, got, times = weighted(*shingle_hashes(flat[off[i] : off[j]], off[i : j + 1] - off[i]))
+    heavy = np.zeros(j - i, bool)
+    heavy[rows[times > 1]] = True
+    return got, times, np.searchsorted(rows, np.arange(j - i + 1)), heavy
+
+
 def _verify(least: float):
-    """Rows sorted by (a, block), leader first: (a, b, similar) for members."""
+    """Rows sorted by group (a, block), leader first: (a, b) of members as similar as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, None
+        key, own = None, None
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("id").to_numpy()
+            a, b, block = (batch.column(c).to_numpy() for c in ("a", "id", "block"))
             flat, off = list_column(batch, "wh")
-            out_a, out_b, out_s = [], [], []
-            for i in range(batch.num_rows):
-                _, h, n = weighted(*shingle_hashes(flat[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]])))
-                if a[i] == b[i]:
-                    leader, own = a[i], (h, n)
-                else:
-                    assert leader == a[i]
-                    out_a.append(a[i])
-                    out_b.append(b[i])
-                    out_s.append(similarity(own, (h, n)))
-            s = np.array(out_s, float)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(s), pa.array(s >= least)], ["a", "b", "similarity", "similar"])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in chunks(off):
+                got, times, ends, heavy = _sides(batch, i, j, flat, off)
+                cut = np.flatnonzero((np.diff(a[i:j]) != 0) | (np.diff(block[i:j]) != 0)) + 1
+                for s, e in zip([0, *cut.tolist()], [*cut.tolist(), j - i]):
+                    if a[i + s] == b[i + s]:
+                        x, y = ends[s : s + 2]
+                        key, own, s = (a[i + s], block[i + s]), (got[x:y], times[x:y], heavy[s]), s + 1
+                    if s == e:
+                        continue
+                    assert key == (a[i + s], block[i + s])
+                    out.append((np.full(e - s, key[0]), b[i + s : i + e], _alike(own, got, times, ends[s : e + 1], heavy[s:e], least)))
+            first, second, similar = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(first[similar]), pa.array(second[similar])], ["a", "b"])
 
     return run
 
 
+def _alike(own: tuple, hashes: np.ndarray, counts: np.ndarray, ends: np.ndarray, heavy: np.ndarray, least: float) -> np.ndarray:
+    """Which of several texts, whose shingles lie between ends, are similar to one."""
+    x, v, is_heavy = own
+    sizes = np.diff(ends)
+    if not len(x):
+        return np.zeros(len(sizes), bool)
+    part, n = hashes[ends[0] : ends[-1]], np.repeat(np.arange(len(sizes)), sizes)
+    hit = x[np.minimum(np.searchsorted(x, part), len(x) - 1)] == part
+    common = np.bincount(n, hit, len(sizes))
+    found = common >= least * (len(x) + sizes - common) - _EPS
+    for k in np.flatnonzero(~found & (common > 0) & (heavy | is_heavy)):  # plain Jaccard doesn't say
+        found[k] = similarity((x, v), (hashes[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]])) >= least
+    return found
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) with similarity and similar. Members of a leader are dealt to blocks; the leader's text goes once to each block."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select(F.col("a").alias("sa"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    dealt = pairs.join(sizes, F.col("a") == F.col("sa")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    need = dealt.select("a", "block", F.col("b").alias("id")).unionByName(dealt.select("a", "block").distinct().withColumn("id", F.col("a")))
+    """Those of pairs(a, b, block) that are similar, as (a, b). The text of a goes once to each of its blocks."""
+    need = pairs.select("a", "block", F.col("b").alias("id")).unionByName(pairs.select("a", "block").distinct().withColumn("id", F.col("a")))
     rows = need.join(texts, F.col("id") == F.col("tid")).select("a", "block", "id", "text")
     sides = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("id") != F.col("a"))
-    return sides.select("a", "id", word_hashes(F.col("text")).alias("wh")).mapInArrow(_verify(least), "a long, b long, similarity double, similar boolean")
+    return sides.select("a", "block", "id", word_hashes(F.col("text")).alias("wh")).mapInArrow(_verify(least), "a long, b long")
+
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct shingle of each text: sh, tid, times, and of the text n (distinct ones) and total."""
+    for batch in batches:
+        tid = batch.column("tid").to_numpy()
+        flat, off = list_column(batch, "wh")
+        for i, j in chunks(off):
+            rows, got, times = weighted(*shingle_hashes(flat[off[i] : off[j]], off[i : j + 1] - off[i]))
+            n, total = np.bincount(rows, minlength=j - i), np.bincount(rows, times, j - i).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(tid[i:j][rows]), pa.array(times.astype(np.int32)), pa.array(n[rows].astype(np.int32)), pa.array(total[rows].astype(np.int32))], ["sh", "tid", "times", "n", "total"])
 
-def _class_links(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of labels that join the classes linked by any pair of texts: of one side each, or of the one side there is.
 
-    Texts are 0 ... len(labels) - 1; rows, hashes, counts are their weighted
-    shingle sets. With texts' weights scaled to a sum of 1, M the mass of x and N
-    that of y on common shingles, probability Jaccard is at most
-    1 / (1/M + (1-N)/N): it is computed only where that bound, and the same with
-    x and y exchanged, allow a link that plain Jaccard does not give.
+def _prefixes(least: float):
+    """Per text with its shared shingles in order: those in its prefix, with what is left of the text from there on.
+
+    rem counts distinct shingles, mass is their share of the text's weight. The
+    shingles no other text has come before all others.
     """
-    n = len(labels)
-    ends = np.searchsorted(rows, np.arange(n + 1))
-    sizes = np.diff(ends)
-    heavy = np.zeros(n, bool)
-    heavy[rows[counts > 1]] = True
-    mass = counts / np.bincount(rows, counts, n)[rows]
-    x = np.flatnonzero(sides == sides.min())
-    y = np.flatnonzero(sides == sides.max())
-    at = np.zeros(n, int)
-    at[x], at[y] = np.arange(len(x)), np.arange(len(y))
-    _, column, texts = np.unique(hashes, return_inverse=True, return_counts=True)
-    several = texts > 1
-    column = np.where(several, np.cumsum(several) - 1, -1)[column]
-    order = np.argsort(column, kind="stable")
-    order = order[np.searchsorted(column[order], 0) :]
-    common = np.zeros((len(x), len(y)), np.float32)
-    mass_x, mass_y = np.zeros_like(common), np.zeros_like(common)
-    starts = np.arange(0, several.sum() + COLUMNS, COLUMNS)
-    for first, i, j in zip(starts, (cuts := np.searchsorted(column[order], starts)), cuts[1:]):
-        o = order[i:j]
-        has = np.zeros((n, COLUMNS), np.float32)
-        has[rows[o], column[o] - first] = 1
-        common += has[x] @ has[y].T
-        if heavy.any():
-            share = np.zeros_like(has)
-            share[rows[o], column[o] - first] = mass[o]
-            mass_x += share[x] @ has[y].T
-            mass_y += has[x] @ share[y].T
-    both = common.astype(float)
-    apart = (labels[x][:, None] != labels[y]) & (both > 0)
-    plain = both / np.maximum(sizes[x][:, None] + sizes[y] - both, 1)
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while (up := parent.get(v, v)) != v:
-            parent[v] = parent.get(up, up)
-            v = up
-        return v
-
-    out = []
-
-    def join(a: int, b: int) -> None:
-        if (a := root(a)) != (b := root(b)):
-            parent[max(a, b)] = min(a, b)
-            out.append((min(a, b), max(a, b)))
-
-    i, j = np.nonzero(apart & (plain >= least))
-    for a, b in np.unique(np.stack([labels[x[i]], labels[y[j]]], 1), axis=0).tolist():
-        join(a, b)
-    if heavy.any():
-        m, k = np.maximum(mass_x, 1e-9).astype(float), np.maximum(mass_y, 1e-9).astype(float)
-        most = np.minimum(1 / (1 / m + (1 - k) / k), 1 / (1 / k + (1 - m) / m))
-        i, j = np.nonzero(apart & (plain < least) & (most >= least - 1e-3) & (heavy[x][:, None] | heavy[y]))
-        for a, b in zip(x[i].tolist(), y[j].tolist()):
-            if root(int(labels[a])) != root(int(labels[b])):
-                (p, q), (r, s) = ends[a : a + 2], ends[b : b + 2]
-                if similarity((hashes[p:q], counts[p:q]), (hashes[r:s], counts[r:s])) >= least:
-                    join(int(labels[a]), int(labels[b]))
-    return out
-
-
-def _cross(least: float):
-    """Rows sorted by (h, p, q): the links between classes of each two blocks, as (a, b) of labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for batch in batches:
+            tid, n, total = (batch.column(c).to_numpy() for c in ("tid", "n", "total"))
+            (sh, off), (times, _) = list_column(batch, "sh"), list_column(batch, "times", np.int32)
+            size = np.diff(off)
+            row = np.repeat(np.arange(len(tid)), size)
+            rem = np.repeat(off[1:], size) - np.arange(len(sh))
+            upto = np.r_[0, np.cumsum(times, dtype=np.int64)]
+            mass = (upto[np.repeat(off[1:], size)] - upto[:-1]) / total[row]
+            on = (rem >= least * n[row] - _EPS) | (mass >= least - _EPS)
+            row = row[on]
+            yield pa.RecordBatch.from_arrays([pa.array(sh[on].view(np.int64)), pa.array(tid[row]), pa.array(n[row]), pa.array(rem[on].astype(np.int32)), pa.array(mass[on]), pa.array(total[row] > n[row])], ["sh", "tid", "n", "rem", "mass", "heavy"])
+
+    return run
+
+
+def _met(least: float, one: bool):
+    """Rows sorted by (sh, p, q): pairs of different classes whose bound reaches least. one: of any two
+    classes that have several texts in the group, the pair of the highest bound only."""
+
+    def group(tid, label, side, n, rem, mass, heavy) -> tuple[np.ndarray, ...]:
+        x, y = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        c = np.minimum(rem[x][:, None], rem[y])
+        bound = c / (n[x][:, None] + n[y] - c)
+        if heavy.any():  # mass M and N left: probability Jaccard is at most 1 / (1/M + 1/N - 1)
+            weighed = 1 / (1 / mass[x][:, None] + 1 / mass[y] - 1)
+            bound = np.where(heavy[x][:, None] | heavy[y], np.maximum(bound, weighed), bound)
+        ok = (bound >= least - 1e-6) & (label[x][:, None] != label[y])
+        if one:
+            _, of, size = np.unique(label, return_inverse=True, return_counts=True)
+            several = size[of] > 1
+            ok &= several[x][:, None] & several[y]
+        i, j = np.nonzero(ok)
+        i, j, bound = x[i], y[j], bound[i, j]
+        flip = tid[i] > tid[j]
+        i, j = np.where(flip, j, i), np.where(flip, i, j)
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        if one and len(i):
+            order = np.lexsort((-bound, high, low))
+            i, j, bound, low, high = (v[order] for v in (i, j, bound, low, high))
+            first = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+            i, j, bound, low, high = (v[first] for v in (i, j, bound, low, high))
+        return tid[i], tid[j], low, high, bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("sh", "p", "q", "tid", "label", "side", "n", "rem", "mass", "heavy")
+        key, held, out, many = None, [], [], 0
+
+        def done() -> None:
+            nonlocal many
+            out.append(group(*(np.concatenate(v) for v in zip(*held))))
+            many += len(out[-1][0])
 
-        def done() -> pa.RecordBatch:
-            many = np.cumsum([0, *(len(x[3]) for x in held)])
-            parts = [np.r_[tuple(x[k] + (many[i] if k == 0 else 0) for i, x in enumerate(held))] for k in range(5)]
-            links = _class_links(*parts, least)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def flush() -> pa.RecordBatch:
+            nonlocal many
+            cols = [np.concatenate(v) for v in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+            out.clear()
+            many = 0
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["a", "b", "low", "high", "bound"])
 
         for batch in batches:
-            h, p, q, label, side = (batch.column(c).to_numpy() for c in ("h", "p", "q", "label", "side"))
-            flat, off = list_column(batch, "wh")
-            for i, j in chunks(off):
-                rows, got, times = weighted(*shingle_hashes(flat[off[i] : off[j]], off[i : j + 1] - off[i]))
-                new = np.flatnonzero((np.diff(h[i:j]) != 0) | (np.diff(p[i:j]) != 0) | (np.diff(q[i:j]) != 0)) + 1
-                for s, e in zip([0, *new.tolist()], [*new.tolist(), j - i]):
-                    if key != (own := (h[i + s], p[i + s], q[i + s])):
-                        if held:
-                            yield done()
-                        key, held = own, []
-                    u, v = np.searchsorted(rows, [s, e])
-                    held.append((rows[u:v] - s, got[u:v], times[u:v], label[i + s : i + e], side[i + s : i + e]))
+            sh, p, q, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+            cut = np.flatnonzero((np.diff(sh) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(sh)]):
+                if s == e:
+                    continue
+                if key != (own := (sh[s], p[s], q[s])):
+                    if held:
+                        done()
+                    key, held = own, []
+                held.append([c[s:e] for c in cols])
+                if many > 100_000:
+                    yield flush()
         if held:
-            yield done()
+            done()
+        yield flush()
 
     return run
 
 
-def _crossed(members: DataFrame, labels: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the labels of texts that share a bucket of members and differ in class.
+def _prefix_rows(members: DataFrame, labels: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """sh, tid, n, rem, mass, heavy: the prefixes of the texts in buckets that hold several classes."""
+    placed = materialize(_labelled(members.select("h", "tid"), labels), "near-placed")
+    per = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("m > 2 AND low <> high").select(F.col("h").alias("oh"))
+    open_ = placed.join(per, F.col("h") == F.col("oh")).select(F.col("tid").alias("t")).distinct()
+    rows = bodies.join(open_, F.col("tid") == F.col("t")).select("tid", word_hashes(F.col("text")).alias("wh"))
+    shingles = materialize(rows.mapInArrow(_shingles, "sh long, tid long, times int, n int, total int"), "near-shingles")
+    often = shingles.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("sh").alias("fsh"), "df")
+    ordered = (
+        shingles.join(often, F.col("sh") == F.col("fsh"))
+        .groupBy("tid")
+        .agg(F.any_value("n").alias("n"), F.any_value("total").alias("total"), F.array_sort(F.collect_list(F.struct("df", "sh", "times"))).alias("s"))
+        .select("tid", "n", "total", F.col("s.sh").alias("sh"), F.col("s.times").alias("times"))
+    )
+    return materialize(ordered.mapInArrow(_prefixes(least), "sh long, tid long, n int, rem int, mass double, heavy boolean"), "near-prefixes")
 
-    Buckets of the same texts count once, and a bucket of two has had its pair
-    compared. In a bucket of n blocks every text goes to n pairs of blocks.
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(tid, ...) with label: that of labels(v, label), or else the text's own number."""
+    return rows.join(labels, F.col("tid") == F.col("v"), "left").select(*rows.columns, F.coalesce("label", "tid").alias("label"))
+
+
+def _candidates(prefixes: DataFrame, labels: DataFrame, least: float, one: bool) -> DataFrame:
+    """Pairs (a, b, block) of texts of different classes that may be similar; with one, a pair at most for any two classes.
+
+    In a group of n blocks every row (of some 50 bytes) goes to n pairs of blocks.
     """
-    placed = materialize(members.join(labels, F.col("tid") == F.col("v"), "left").select("h", "tid", F.coalesce("label", "tid").alias("label")), "near-placed")
-    per = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("x2"), "tid")).alias("x2"))
-    open_ = per.where("n > 2 AND low <> high").groupBy("n", "x", "x2").agg(F.min("h").alias("oh")).select("oh", F.ceil(F.col("n") / CROSS_BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(open_, F.col("h") == F.col("oh")).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-    each = dealt.select("h", "tid", "label", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("h", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "tid", "label", "side")
-    rows = each.join(bodies.withColumnRenamed("tid", "t"), F.col("tid") == F.col("t")).select("h", "p", "q", "label", "side", "text")
-    sides = rows.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
-    return sides.select("h", "p", "q", "label", "side", word_hashes(F.col("text")).alias("wh")).mapInArrow(_cross(least), "a long, b long").distinct()
+    rows = _labelled(prefixes, labels)
+    per = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("m > 1 AND low <> high").select(F.col("sh").alias("gsh"), F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(per, F.col("sh") == F.col("gsh")).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("side", "o")).withColumn("q", F.greatest("side", "o"))
+    sides = each.select("sh", "p", "q", "tid", "label", "side", "n", "rem", "mass", "heavy").repartition("sh", "p", "q").sortWithinPartitions("sh", "p", "q")
+    met = sides.mapInArrow(_met(least, one), "a long, b long, low long, high long, bound double")
+    if one:
+        pairs = met.groupBy("low", "high").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    else:
+        pairs = met.select("a", "b").distinct()
+    return materialize(pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(8))), "near-candidates")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -341,9 +391,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "near-texts",
     )
     exploded = texts.select("tid", F.explode(F.array_distinct("bands")).alias("h"))
-    shared = exploded.groupBy("h").agg(F.min("tid").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("sh"), "leader")
-    members = materialize(exploded.join(shared, F.col("h") == F.col("sh")).select("h", "tid", "leader"), "near-buckets")
-    pairs = materialize(members.where("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct(), "near-pairs")
+    shared = exploded.groupBy("h").agg(F.min("tid").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("sh"), "leader", "m")
+    members = materialize(exploded.join(shared, F.col("h") == F.col("sh")).select("h", "tid", "leader", "m"), "near-buckets")
+    # a power of two of blocks, and a number for each of them
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("m") / BLOCK)))).cast("long")
+    pairs = materialize(
+        members.where("tid <> leader").groupBy(F.col("leader").alias("a"), F.col("tid").alias("b")).agg(F.max("m").alias("m")).select("a", "b", (blocks + F.pmod(F.xxhash64("b"), blocks)).alias("block")), "near-pairs"
+    )
 
     wanted = members.select("tid").distinct().join(texts.select(F.col("tid").alias("t"), F.col("k1").alias("w1"), F.col("k2").alias("w2")), F.col("tid") == F.col("t")).select("tid", "w1", "w2")
     match = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
@@ -353,11 +407,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         found = keyed.groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(wanted, match)
     bodies = materialize(found.select("tid", "text"), "near-bodies")
 
-    links = materialize(_verified(pairs, bodies, least).where("similar").select("a", "b"), "near-links")
-    labels = components(links)
-    more = materialize(_crossed(members, labels, bodies, least), "near-links")
-    if not more.isEmpty():
-        labels = _merged(labels, more)
+    labels = components(materialize(_verified(pairs, bodies, least), "near-links"))
+    prefixes = _prefix_rows(members, labels, bodies, least)
+    for one in (True, False):  # what links whole classes first, so that their other pairs need no look
+        more = materialize(_verified(_candidates(prefixes, labels, least, one), bodies, least), "near-links")
+        if not more.isEmpty():
+            labels = _merged(labels, more)
 
     classed = texts.join(labels, F.col("tid") == F.col("v"), "left").select("k1", "k2", "rep", "copies", F.coalesce("label", "tid").alias("label"))
     first = F.struct(F.col("rep").isNull().alias("n"), "rep", "k1", "k2")

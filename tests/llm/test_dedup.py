@@ -213,27 +213,38 @@ def test_pairs_far_from_leaders_are_compared(spark):
     assert got == sorted((i, j) for i in range(240, 264, 2) for j in (i, i + 1))
 
 
-def test_class_links_are_those_of_similarity():
+def pairs_at(sets, least=0.8):
+    return {(j, i) for i in range(len(sets)) for j in range(i) if near.similarity(sets[i], sets[j]) >= least}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_prefixes_meet_for_every_similar_pair(spark, monkeypatch, block):
+    """Texts of repeated and of single shingles around 0.8, in one bucket: no pair is missing, in groups of one block and of many."""
+    monkeypatch.setattr(near, "GROUP_BLOCK", block)
     r = random.Random(8)
-    base = [r.choices("abcdefghijklmnop", k=24) for _ in range(4)]
-    texts = [Counter(tuple(b[:i] + r.choices("abcdefghijklmnopqrstuvw", k=24 - i))) for b in base for i in (20, 21, 22, 23, 24) for _ in range(4)]
-    sets = [arrays(Counter({hash((x, 7)): n for x, n in t.items()})) for t in texts]
-    sides = np.array([r.randrange(2) for _ in texts])
-    labels = np.arange(len(texts)) + 5
-    flat = [np.concatenate(x) for x in ([np.full(len(h), i) for i, (h, _) in enumerate(sets)], [h for h, _ in sets], [n for _, n in sets])]
-    for s in (sides, sides * 0):
-        got = near._class_links(*flat, labels, s, 0.8)
-        want = [(i, j) for i in range(len(texts)) for j in range(i) if (s[i] != s[j] or not s.any()) and near.similarity(sets[i], sets[j]) >= 0.8]
-        assert want
-
-        def classes(links):
-            c = {i: {i} for i in range(len(texts))}
-            for a, b in links:
-                for k in (u := c[a] | c[b]):
-                    c[k] = u
-            return {frozenset(x) for x in c.values()}
-
-        assert classes((a - 5, b - 5) for a, b in got) == classes(want)
+    base = [r.choices("abcdefghijklmnop", k=24) + r.choices("QRSTUVWXYZ", k=30) for _ in range(3)]
+    texts = [" ".join(b[:i] + r.choices("abcdefghijklmnopqrstuvw", k=54 - i)) for b in base for i in (10, 46, 48, 50, 51, 52, 53) for _ in range(4)]
+    sets = [arrays(shingles(t)) for t in texts]
+    bodies = spark.createDataFrame(list(enumerate(texts)), "tid long, text string")
+    members = bodies.selectExpr("1L AS h", "tid")
+    labels = spark.createDataFrame([], "v long, label long")
+    prefixes = near._prefix_rows(members, labels, bodies, 0.8)
+    met = near._candidates(prefixes, labels, 0.8, False)
+    want = pairs_at(sets)
+    assert len(want) > 50 and want <= {(x["a"], x["b"]) for x in met.collect()}
+    assert {(x["a"], x["b"]) for x in near._verified(met, bodies, 0.8).collect()} == want
+
+
+def test_one_link_among_a_thousand_texts_of_a_template(spark):
+    """A template that texts fill differently (0.6 to 0.7 of each other), one pair at 0.8: the buckets hold hundreds of classes."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base, rows = [word() for _ in range(300)], []
+    for _ in range(1000):
+        rows.append(base[:235] + [word() for _ in range(65)])
+    rows[700] = rows[300][:270] + [word() for _ in range(30)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near.near_dedup(df).collect() if x["class_size"] > 1} == {300: 300, 700: 300}
 
 
 def test_a_repeated_passage_hides_no_copy(spark):
