@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +36,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n > 0, dot(a, b) / n), F.lit(0.0))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def embed(text: str | None, dim: int = DIM) -> np.ndarray:
     """Feature-hashed 2-, 3- and 4-grams of the lower-case text, unit length; zero for texts of one letter or none."""
-    t, out = (text or "").lower(), np.zeros(dim, np.float64)
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    out, gram = np.zeros(dim), codes
     for n in (2, 3, 4):
-        for i in range(len(t) - n + 1):
-            h = xxhash.xxh64_intdigest(t[i : i + n])
-            out[h % dim] += 1.0 if h >> 63 else -1.0
+        if len(codes) < n:
+            break
+        gram = _mix(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :])  # of n letters, from that of n - 1
+        sign = 1.0 - 2.0 * (gram >> np.uint64(63)).astype(float)
+        out += np.bincount((gram % np.uint64(dim)).astype(np.int64), sign, dim)
     length = float(np.sqrt((out * out).sum()))
     return (out / length if length else out).astype(np.float32)
 
 
 def embed_column(text: Column, dim: int = DIM) -> Column:
-    """embed() over Arrow batches."""
+    """embed() over Arrow batches; each text is hashed as one array."""
     session = SparkSession.getActiveSession()
     if session:
         ship(session)

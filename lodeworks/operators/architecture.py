@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Kinds of symbols that count, unless all are asked for.
 KINDS = ("Class", "Interface", "Struct", "Enum", "Record", "Method", "Property", "Field", "Event")
 
 
+#: Names of files that make their folder a component, best first.
+BUILD_FILES = ["*.csproj", "*.vbproj", "*.fsproj", "pom.xml", "package.json", "Cargo.toml", "go.mod", "build.gradle", "build.gradle.kts", "pyproject.toml", "CMakeLists.txt", "*.cabal"]
+
+
 def component_at_depth(path: Column, depth: int) -> Column:
     """The first ``depth`` directories of a path; of a shallower path, the last segment."""
     parts = F.split(path, "/")
@@ -19,21 +25,34 @@ def component_by_longest_prefix(files: DataFrame, prefixes: DataFrame, path_col:
     """files with the component of the longest prefix(prefix, component) that begins their path, at a directory border.
 
     Each path is expanded into its directories, which meet the prefixes in an
-    equi-join; a path that no prefix begins has a null component.
+    equi-join; a path that no prefix begins has a null component. The empty
+    prefix, that of a build file in the root, begins every path.
     """
     parts = F.split(F.col(path_col), "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    dirs = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     tries = files.select(path_col).distinct().select(path_col, F.explode(dirs).alias("dir"))
     best = tries.join(prefixes, F.col("dir") == F.col("prefix")).groupBy(F.col(path_col).alias("__path")).agg(F.max_by("component", F.length("prefix")).alias("component"))
     return files.join(best, F.col(path_col) == F.col("__path"), "left").drop("__path")
 
 
-def discover_components(files: DataFrame, patterns: list[str], path_col: str = "file_path") -> DataFrame:
-    """Build files give components: prefix (their directory), component (its name); of several in one directory the first pattern wins."""
+def with_component(rows: DataFrame, prefixes: DataFrame | None, depth: int = 1, path_col: str = "file_path") -> DataFrame:
+    """rows with their component: that of the nearest build file above, else the folder at ``depth``."""
+    by_depth = component_at_depth(F.col(path_col), depth)
+    if prefixes is None:
+        return rows.withColumn("component", by_depth)
+    return component_by_longest_prefix(rows, prefixes.select("prefix", "component"), path_col).withColumn("component", F.coalesce("component", by_depth))
+
+
+def discover_components(files: DataFrame, patterns: list[str] | None = None, path_col: str = "file_path", root: str = "root") -> DataFrame:
+    """Build files give components: prefix (their directory), component (its name); of several in one directory the first pattern wins.
+
+    The root's prefix is empty, its component is called ``root``.
+    """
+    patterns = BUILD_FILES if patterns is None else patterns
     name, folder = F.substring_index(path_col, "/", -1), F.regexp_replace(path_col, "/?[^/]*$", "")
     rank = F.coalesce(*[F.when(name.rlike("^" + p.replace(".", r"\.").replace("*", ".*") + "$"), i) for i, p in enumerate(patterns)])
     ranked = files.select(folder.alias("prefix"), name.alias("file"), rank.alias("rank")).where("rank IS NOT NULL")
-    return ranked.groupBy("prefix").agg(F.min_by("file", F.struct("rank", "file")).alias("build_file")).withColumn("component", F.substring_index("prefix", "/", -1))
+    return ranked.groupBy("prefix").agg(F.min_by("file", F.struct("rank", "file")).alias("build_file")).withColumn("component", F.when(F.col("prefix") == "", F.lit(root)).otherwise(F.substring_index("prefix", "/", -1)))
 
 
 def overview(symbols: DataFrame, component: Column, path: str | None = None, kinds: tuple[str, ...] | None = KINDS) -> DataFrame:
@@ -69,21 +88,16 @@ def clusters(components: DataFrame, pairs: DataFrame, threshold: float = 0.3) ->
     """
     threshold = min(max(threshold, 0.01), 1.0)
     strong = pairs.where(F.col("coupling") >= threshold).select("a", "b")
-    links = strong.union(strong.select("b", "a")).toDF("a", "b").distinct().persist()
+    links = cut(strong.union(strong.select("b", "a")).toDF("a", "b").distinct())
     labels = components.select("component").distinct().withColumn("cluster", F.col("component"))
     while True:
         near = links.join(labels, F.col("b") == F.col("component")).groupBy("a").agg(F.min("cluster").alias("near"))
-        after = _cut(labels.join(near, F.col("component") == F.col("a"), "left").select("component", F.least("cluster", F.coalesce("near", "cluster")).alias("new"), "cluster"))
+        after = cut(labels.join(near, F.col("component") == F.col("a"), "left").select("component", F.least("cluster", F.coalesce("near", "cluster")).alias("new"), "cluster"))
         if after.where("new <> cluster").isEmpty():
             return after.select("component", F.col("new").alias("cluster"))
         labels = after.select("component", F.col("new").alias("cluster"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder where the session names one, else keep in memory."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def cluster_cohesion(members: DataFrame, matrix: DataFrame) -> DataFrame:
     """cluster, name (members joined by +), size, cohesion = internal / all edges of its members; 1 for singletons."""
     a, b = members.select(F.col("component").alias("ca"), F.col("cluster").alias("ka")), members.select(F.col("component").alias("cb"), F.col("cluster").alias("kb"))

@@ -4,7 +4,8 @@ Python goes through its own ``ast``. The brace languages (C#, Java, JavaScript,
 TypeScript, Go, Rust, C, C++) go through a scanner that blanks comments and
 strings, then follows braces: it finds types, functions, methods, constructors,
 properties, fields and constants by their declarations, base lists after
-``:`` / ``extends`` / ``implements``, and calls and ``new`` in bodies. HTML gives
+``:`` / ``extends`` / ``implements``, embedded structs, types of parameters and results,
+and calls and ``new`` in bodies. HTML gives
 elements with an id. Macros, templates spread over lines and generated code are
 beyond it; a file it can't read gives no rows.
 """
@@ -33,7 +34,9 @@ _METHOD = re.compile(rf"^\s*(?:\[[^\]]*\]\s*)*(?:@\w+(?:\([^)]*\))?\s*)*{_MODS}(
 _PROPERTY = re.compile(rf"^\s*{_MODS}(?P<ret>[\w<>\[\],.?]+)\s+(?P<name>[A-Za-z_]\w*)\s*(?:\{{\s*(?:(?:public|private|protected|internal)\s+)?(?:get|set|init)\b|=>)")
 _EVENT = re.compile(rf"^\s*{_MODS}event\s+[\w<>.?]+\s+(?P<name>\w+)\s*[;{{=]")
 _FIELD = re.compile(rf"^\s*{_MODS}(?P<ret>[\w<>\[\],.?*&:]+)[\s*&]+(?P<name>[A-Za-z_]\w*)\s*(?:=[^=>].*)?;")
+_TS_FIELD = re.compile(rf"^\s*{_MODS}(?P<name>[A-Za-z_$]\w*)\s*[?!]?\s*:\s*(?P<ret>[^=;(){{}}]+?)\s*(?:=.*)?;")
 _VARIABLE = re.compile(r"^\s*(?P<mods>(?:export\s+)?)(?:const|let|var|static)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w*)\s*(?::[^=]+)?=")
+_EMBEDDED = re.compile(r"^\s*\*?(?:\w+\.)?([A-Za-z_]\w*)\s*(?:`[^`]*`)?\s*$")
 _NOT_NAMES = frozenset("if for foreach while switch catch using lock return new throw else do try finally match loop sizeof typeof await yield case when in is as not and or function fn func delete defer go select import package with".split())
 _PRIMITIVES = frozenset("int long short byte char bool boolean float double decimal string str void var object let const auto number any unknown never unsigned signed usize isize u8 u16 u32 u64 i8 i16 i32 i64 f32 f64 self this base super".split())
 _KINDS = {"class": "Class", "interface": "Interface", "struct": "Struct", "enum": "Enum", "record": "Record", "trait": "Interface", "namespace": "Namespace", "module": "Module", "union": "Struct"}
@@ -94,7 +97,7 @@ def _scan(text: str, language: str) -> tuple[list[dict], list[dict]]:
             kind = "Method" if owner else "Function"
             if not m["ret"] and name != own and name != "constructor" and language not in ("JavaScript", "TypeScript"):
                 name = None
-        elif not in_body and owner is not None and owner["kind"] != "Namespace" and (m := _FIELD.match(line)) and m["ret"] not in _NOT_NAMES:
+        elif not in_body and owner is not None and owner["kind"] != "Namespace" and (m := (_TS_FIELD if language == "TypeScript" else _FIELD).match(line)) and m["ret"] not in _NOT_NAMES:
             name, kind, mods = m["name"], "Field", m["mods"]
         elif owner is None and (m := _VARIABLE.match(line)):
             name, kind, mods = m["name"], "Variable", m["mods"]
@@ -112,6 +115,13 @@ def _scan(text: str, language: str) -> tuple[list[dict], list[dict]]:
             for m in re.finditer(r"(?<!new )\b([A-Za-z_]\w*)\s*\(", line):
                 if m[1] not in _NOT_NAMES and m[1] not in _PRIMITIVES:
                     refs.append({"source": owner["full_name"], "target": m[1], "relationship_type": "Calls", "line": i + 1})
+        if owner is not None and owner["kind"] == "Struct" and language == "Go" and not name and (e := _EMBEDDED.match(line)):
+            refs.append({"source": owner["full_name"], "target": e[1], "relationship_type": "Inherits", "line": i + 1})
+        if kind in ("Method", "Function") and name and language not in ("JavaScript", "Html"):
+            # types of parameters and what is returned: in these languages they begin with a capital letter
+            declared = line[m.end("name") :].split("{")[0] + " " + (m.groupdict().get("ret") or "")
+            for t in dict.fromkeys(re.findall(r"(?<![\w.\"'])[A-Z]\w*", declared)):
+                refs.append({"source": symbols[-1]["full_name"], "target": t, "relationship_type": "References", "line": i + 1})
         if kind in ("Field", "Property") and name and m["ret"]:
             for t in re.findall(r"[A-Za-z_]\w*", m["ret"]):
                 if t.lower() not in _PRIMITIVES:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 MAX_DEPTH = 3
 
 
@@ -63,7 +65,8 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", dept
     upstream follows edges from source to target (what a symbol uses), downstream
     the other way (what uses it), both does either. Depth is clamped to 1..3. One
     row per (edge, direction), at the level it is first met; nodes met before
-    aren't expanded again, so cycles end.
+    aren't expanded again, so cycles end. A level is written before the next one
+    starts, so each level reads the edges once.
     """
     depth = min(max(depth, 1), MAX_DEPTH)
     if direction == "both":
@@ -75,6 +78,8 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", dept
         step = edges.join(frontier.select(F.col("id").alias("at")), F.col(here) == F.col("at")).select(
             F.lit(level).alias("level"), F.col("id").alias("edge_id"), F.lit(direction).alias("direction"), F.col(there).alias("node"), "relationship_type"
         )
+        if level < depth:
+            step = cut(step)
         levels.append(step)
         if level < depth:
             frontier = step.select(F.col("node").alias("id")).distinct().join(seen, "id", "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ from ..operators import chunking, extraction, graph, history, names, search
 from ..sources import snapshot, star
 from ..sources.catalog import table
 from ..sources.files import select_files
+from ..session import cut, shared_dir
 from ..streaming import watcher
+from .frontend import Engine
 from .relational import plain
 
 EXTENSIONS = ["cs", "ts", "js", "java", "py", "go", "rs", "c", "h", "cpp", "hpp", "html", "tsx", "jsx", "mjs", "cc", "cxx", "hxx", "htm", "md", "txt"]
@@ -79,52 +80,54 @@ def edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SYMBOLS}, {_EDGES} SELECT e.id, coalesce(s.name, e.target_symbol_id) AS symbol_name, coalesce(s.file_path, '') AS file_path, coalesce(s.kind, e.relationship_type) AS kind
-  FROM edges e LEFT JOIN symbols s ON e.target_symbol_id = s.id WHERE e.source_symbol_id IN ('o:7', 'c:5')""")
+  FROM edges e LEFT JOIN symbols s ON e.target_symbol_id = s.id""")
 def edges_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = star.relationships(spark, sf_dir).where(F.col("source_symbol_id").isin("o:7", "c:5"))
-    return graph.with_payload(e, star.symbols(spark, sf_dir), "target_symbol_id").select("id", "symbol_name", "file_path", "kind")
+    return graph.with_payload(star.relationships(spark, sf_dir), star.symbols(spark, sf_dir), "target_symbol_id").select("id", "symbol_name", "file_path", "kind")
 
 
 @query("""SELECT a.r_name AS parent, b.n AS child FROM region a JOIN (SELECT r_name || '.' || n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey) b ON b.n LIKE a.r_name || '.%'""")
 def join_like_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents by dotted prefix: every proper prefix of a child's name meets the parents in an equi-join."""
+    """Parents by dotted prefix, through the SQL front end: LIKE over a join becomes an equi-join of prefixes."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    child = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(".", "r_name", "n_name").alias("child"))
-    parts = F.split("child", r"\.")
-    tries = child.select("child", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("prefix"))
-    return region.select(F.col("r_name").alias("parent")).join(tries, F.col("parent") == F.col("prefix")).select("parent", "child")
+    child = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(".", "r_name", "n_name").alias("name"))
+    return Engine(spark, {"parents": region.select(F.col("r_name").alias("name")), "children": child}).frame("SELECT a.name AS parent, b.name AS child FROM parents a JOIN children b ON b.name LIKE a.name || '.%'")
 
 
 # graph
 
 
+_BELOW = f"(WITH {_SYMBOLS}, root AS (SELECT id, full_name FROM symbols WHERE name = 'NATION_3') SELECT id FROM root UNION SELECT s.id FROM symbols s, root WHERE starts_with(s.full_name, root.full_name || '.'))"
+
+
 def _trace_sql(direction: str, start: str, depth: int) -> str:
+    """start: SQL that selects the ids to begin with."""
     here, there = ("source_symbol_id", "target_symbol_id") if direction == "upstream" else ("target_symbol_id", "source_symbol_id")
-    parts = [f"f1 AS (SELECT '{start}' AS id)", "s1 AS (SELECT id FROM f1)"]
+    parts = [f"e AS MATERIALIZED (WITH {_EDGES} SELECT * FROM edges)", f"f1 AS MATERIALIZED {start}"]
     for k in range(1, depth + 1):
-        parts.append(f"t{k} AS (SELECT {k} AS level, e.id AS edge_id, '{direction}' AS direction, e.{there} AS node, e.relationship_type FROM edges e JOIN f{k} ON e.{here} = f{k}.id)")
-        parts.append(f"f{k + 1} AS (SELECT DISTINCT node AS id FROM t{k} WHERE node NOT IN (SELECT id FROM s{k}))")
-        parts.append(f"s{k + 1} AS (SELECT id FROM s{k} UNION SELECT id FROM f{k + 1})")
-    return f"WITH {_EDGES}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, depth + 1))
+        parts.append(f"t{k} AS MATERIALIZED (SELECT {k} AS level, e.id AS edge_id, '{direction}' AS direction, e.{there} AS node, e.relationship_type FROM e JOIN f{k} ON e.{here} = f{k}.id)")
+        met = " UNION ALL ".join(f"SELECT id FROM f{i}" for i in range(1, k + 1))
+        parts.append(f"f{k + 1} AS MATERIALIZED (SELECT DISTINCT node AS id FROM t{k} ANTI JOIN ({met}) m ON t{k}.node = m.id)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, depth + 1))
 
 
 def _start(spark: SparkSession, node: str) -> DataFrame:
     return spark.range(1).select(F.lit(node).alias("id"))
 
 
-@query(_trace_sql("downstream", "p:3", 2))
+@query(_trace_sql("downstream", "(SELECT 'p:3' AS id)", 2))
 def graph_trace_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trace(star.relationships(spark, sf_dir), _start(spark, "p:3"), "downstream", 2)
 
 
-@query(_trace_sql("upstream", "c:5", 3))
+@query(_trace_sql("upstream", _BELOW, 3))
 def graph_trace_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(star.relationships(spark, sf_dir), _start(spark, "c:5"), "upstream", 3)
+    """From a symbol and everything below it."""
+    return graph.trace(star.relationships(spark, sf_dir), graph.with_descendants(star.symbols(spark, sf_dir), "NATION_3"), "upstream", 3)
 
 
-@query(f"SELECT * FROM ({_trace_sql('upstream', 'o:7', 2)}) UNION ALL SELECT * FROM ({_trace_sql('downstream', 'o:7', 2)})")
+@query(f"SELECT * FROM ({_trace_sql('upstream', _BELOW, 2)}) UNION ALL SELECT * FROM ({_trace_sql('downstream', _BELOW, 2)})")
 def graph_trace_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(star.relationships(spark, sf_dir), _start(spark, "o:7"), "both", 2)
+    return graph.trace(star.relationships(spark, sf_dir), graph.with_descendants(star.symbols(spark, sf_dir), "NATION_3"), "both", 2)
 
 
 @query(f"""WITH {_SYMBOLS}, {_EDGES}, root AS (SELECT id, full_name FROM symbols WHERE name = 'NATION_3'), own AS (SELECT id FROM root UNION SELECT s.id FROM symbols s, root WHERE starts_with(s.full_name, root.full_name || '.')),
@@ -142,7 +145,7 @@ def test_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.test_coverage(star.relationships(spark, sf_dir), star.symbols(spark, sf_dir), _start(spark, "n:3"), stem="[13579]$")
 
 
-_IMPACT = f"WITH {_SYMBOLS}, t AS ({_trace_sql('downstream', 'r:1', 3)}), f AS (SELECT DISTINCT s.file_path FROM t JOIN symbols s ON t.node = s.id WHERE s.file_path <> '')"
+_IMPACT = f"WITH {_SYMBOLS}, t AS ({_trace_sql('downstream', "(SELECT 'r:1' AS id)", 3)}), f AS (SELECT DISTINCT s.file_path FROM t JOIN symbols s ON t.node = s.id WHERE s.file_path <> '')"
 
 
 def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,23 +233,38 @@ def coupling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CLUSTERS} SELECT component, cluster FROM mem")
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir, _matrix(spark, sf_dir).persist())
+    return _members(spark, sf_dir, cut(_matrix(spark, sf_dir)))
 
 
 @query(f"""{_CLUSTERS}, t AS (SELECT ma.cluster AS k, sum(n) AS total, sum(CASE WHEN ma.cluster = mb.cluster THEN n ELSE 0 END) AS inside FROM m JOIN mem ma ON m.a = ma.component JOIN mem mb ON m.b = mb.component GROUP BY 1),
   g AS (SELECT cluster, string_agg(component, '+' ORDER BY component) AS name, count(*) AS size FROM mem GROUP BY cluster)
   SELECT g.cluster, g.name, g.size, CASE WHEN size = 1 THEN 1.0 ELSE round(coalesce(inside / total, 0), 6) END AS cohesion FROM g LEFT JOIN t ON g.cluster = t.k""")
 def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _matrix(spark, sf_dir).persist()
+    matrix = cut(_matrix(spark, sf_dir))
     return arch.cluster_cohesion(_members(spark, sf_dir, matrix), matrix).withColumn("cohesion", F.round("cohesion", 6))
 
 
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as commits: of a user, to a path that is the type."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("hash"), F.col("user_id").alias("author"), F.col("ts").alias("date"), F.col("event_type").alias("path"))
+
+
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
   SELECT event_type, count(*) AS commits, count(DISTINCT user_id) AS authors, min(ts)::DATE AS first_date, max(ts)::DATE AS last_date, list(event_id ORDER BY r) FILTER (WHERE r <= 10) AS newest FROM t GROUP BY event_type""")
 def entity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    per = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("user_id").alias("authors"), F.min("ts").cast("date").alias("first_date"), F.max("ts").cast("date").alias("last_date"))
-    return per.join(history.newest(e, "event_type", "event_id", ["ts", "event_id"]), "event_type")
+    found = history.history(_commits(spark, sf_dir)).withColumnRenamed("path", "event_type")
+    return found.withColumn("first_date", F.col("first_date").cast("date")).withColumn("last_date", F.col("last_date").cast("date"))
+
+
+@query("SELECT event_type AS path, COUNT(*) AS commits, COUNT(DISTINCT user_id) AS authors, CAST(MIN(ts) AS DATE) AS first_date, CAST(MAX(ts) AS DATE) AS last_date FROM events GROUP BY event_type ORDER BY commits DESC, path LIMIT 10")
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.hotspots(_commits(spark, sf_dir), 10)
+    return found.withColumn("first_date", F.col("first_date").cast("date")).withColumn("last_date", F.col("last_date").cast("date"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_event_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watcher.latest_per_key(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
 
 
 # vectors
@@ -272,10 +290,10 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(v, _query_vector(v), 10, "vec_id", where=F.col("label") == 3).select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
-@query(f"WITH ids AS (SELECT doc_id AS vec_id FROM documents WHERE doc_id BETWEEN 480 AND 540), s AS (SELECT vec_id, {_SIM} AS s FROM embeddings) SELECT ids.vec_id, round(coalesce(s, 0), 5) AS similarity FROM ids LEFT JOIN s ON ids.vec_id = s.vec_id")
+@query(f"WITH ids AS (SELECT doc_id AS vec_id FROM documents), s AS (SELECT vec_id, {_SIM} AS s FROM embeddings) SELECT ids.vec_id, round(coalesce(s, 0), 5) AS similarity FROM ids LEFT JOIN s ON ids.vec_id = s.vec_id")
 def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    ids = table(spark, sf_dir, "documents").where("doc_id BETWEEN 480 AND 540").select(F.col("doc_id").alias("vec_id"))
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
     return search.rerank(ids, v, _query_vector(v), "vec_id").select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -289,8 +307,6 @@ def search_with_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sql_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ORDER BY Similarity through the SQL front end; the text comes from the LIKE, rows-only."""
-    from .frontend import Engine
-
     d = table(spark, sf_dir, "documents")
     chunks = d.select(tx.chunk_id(F.col("source"), F.col("text"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("symbol_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), vectors.embed_column(F.col("text"), 256).alias("embedding"))
     return Engine(spark, {"chunks": chunks}, dim=256).frame("SELECT FilePath, Language FROM ChunkRecord WHERE Content LIKE '%the worthless idiot%' AND Language = 'en' ORDER BY Similarity LIMIT 10")
@@ -319,9 +335,15 @@ def crawl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_files(_files(spark, sf_dir), [".cs", "py", "Go"], IGNORE).select("doc_id", "file_path")
 
 
-@query()
+@query("SELECT doc_id, sha256(concat_ws('|', source, text, source || '/' || doc_id))[1:32] AS chunk_id FROM documents")
+def chunk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_id(F.col("source"), F.col("text"), path).alias("chunk_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text ELSE left(text, list_max(list_filter(range(1000, 4097), lambda n: strlen(left(text, n)) <= 4096))) END AS text FROM documents""")
 def truncate_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut at 4096 bytes on a character border; rows-only (SQL has no byte cut)."""
+    """Texts cut at 4096 bytes on a character border."""
     return table(spark, sf_dir, "documents").select("doc_id", tx.truncate_utf8(F.col("text"), 4096).alias("text"))
 
 
@@ -336,17 +358,17 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", chunking.lines_between(F.col("text"), F.lit(2), F.lit(4)).alias("body"))
 
 
-@query("SELECT conv_id, turn, '// Parent: ' || conv_id || chr(10) || text AS content FROM conversations WHERE turn > 0")
+@query("SELECT conv_id, turn, '// Parent: ' || conv_id || chr(10) || text AS content FROM conversations")
 def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("turn > 0")
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", chunking.with_header(F.col("conv_id").cast("string"), F.col("text")).alias("content"))
 
 
-@query(f"""WITH {_SYMBOLS}, s AS (SELECT * FROM symbols WHERE kind IN ('Nation', 'Supplier')), refs AS (SELECT s_suppkey AS ref_id, CASE s_suppkey % 3 WHEN 0 THEN 'NATION_' || s_nationkey WHEN 1 THEN s_name ELSE 'REGION.' || s_name END AS target FROM supplier),
+@query(f"""WITH {_SYMBOLS}, s AS (SELECT * FROM symbols), refs AS (SELECT s_suppkey AS ref_id, CASE s_suppkey % 3 WHEN 0 THEN 'NATION_' || s_nationkey WHEN 1 THEN s_name ELSE 'REGION.' || s_name END AS target FROM supplier),
   k AS (SELECT id, 1 AS rule, full_name AS k FROM s UNION ALL SELECT id, 2, name FROM s UNION ALL SELECT id, 3, split_part(name, '(', 1) FROM s)
   SELECT refs.ref_id, refs.target, k.id AS symbol_id, k.rule FROM refs JOIN k ON refs.target = k.k QUALIFY row_number() OVER (PARTITION BY refs.ref_id ORDER BY k.rule, k.id) = 1""")
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = star.symbols(spark, sf_dir).where("kind IN ('Nation', 'Supplier')")
+    s = star.symbols(spark, sf_dir)
     kind = F.col("s_suppkey") % 3
     refs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref_id"), F.when(kind == 0, F.concat(F.lit("NATION_"), "s_nationkey")).when(kind == 1, F.col("s_name")).otherwise(F.concat(F.lit("REGION."), "s_name")).alias("target"))
     return names.resolve_names(refs, s)
@@ -361,28 +383,39 @@ def containing_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.containing(c.select(f.alias("file_path"), (F.col("turn") * 4).alias("line")).distinct(), s)
 
 
-SNIPPETS = [
-    ("src/Shapes.cs", "CSharp", "namespace Geo;\n\n/// <summary>A shape</summary>\npublic abstract class Shape : IArea\n{\n    private int count;\n    public string Name { get; set; }\n    public abstract double Area();\n    protected void Log(string text)\n    {\n        Writer.Print(text);\n    }\n}\n"),
-    ("src/app.py", "Python", "class App(Base):\n    def run(self):\n        start()\n\nLIMIT = 3\n"),
-    ("src/main.go", "Go", "package main\n\ntype Server struct {\n    port int;\n}\n\nfunc (s *Server) Run() error {\n    return listen(s.port)\n}\n"),
-    ("src/util.ts", "TypeScript", "export interface Named {\n  name: string;\n}\nexport class Box implements Named {\n  open(): void {\n    unlock();\n  }\n}\n"),
+#: By p_partkey % 4: extension, language, and a source file in which # stands for the key.
+SOURCES = [
+    ("py", "Python", "class Part#(Base):\n    def run(self):\n        start()\n\nLIMIT = #\n"),
+    ("cs", "CSharp", "namespace Geo;\n\npublic class Part# : IThing\n{\n    private int count;\n    public string Name { get; set; }\n    public void Run(string text)\n    {\n        Writer.Print(text);\n    }\n}\n"),
+    ("go", "Go", "package main\n\ntype Part# struct {\n    port int\n}\n\nfunc (s *Part#) Run() error {\n    return listen(s.port)\n}\n"),
+    ("ts", "TypeScript", "export interface Named# {\n  name: string;\n}\nexport class Part# implements Named# {\n  open(): void {\n    unlock();\n  }\n}\n"),
 ]
+#: Of each kind of file: kind, full name, first and last line of what it declares.
+DECLARED = [
+    (0, "Class", "Part#", 1, 3), (0, "Method", "Part#.run", 2, 3), (0, "Variable", "LIMIT", 5, 5),
+    (1, "Class", "Part#", 3, 11), (1, "Field", "Part#.count", 5, 5), (1, "Property", "Part#.Name", 6, 6), (1, "Method", "Part#.Run", 7, 10),
+    (2, "Struct", "Part#", 3, 5), (2, "Method", "Part#.Run", 7, 9),
+    (3, "Interface", "Named#", 1, 3), (3, "Field", "Named#.name", 2, 2), (3, "Class", "Part#", 4, 8), (3, "Method", "Part#.open", 5, 7),
+]
 
 
-@query()
+@query(f"""WITH d(k, kind, full_name, line_start, line_end) AS (VALUES {', '.join(map(str, DECLARED))}), x(k, ext) AS (VALUES {', '.join(f"({i}, '{e}')" for i, (e, _, _) in enumerate(SOURCES))})
+  SELECT 'src/part' || p_partkey || '.' || ext AS file_path, kind, replace(full_name, '#', p_partkey::VARCHAR) AS full_name, line_start, line_end FROM part JOIN d ON p_partkey % 4 = d.k JOIN x ON x.k = d.k""")
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of a few snippets (the tables hold no source code); rows-only."""
-    return extraction.with_symbol_ids(extraction.extract_symbols(spark.createDataFrame(SNIPPETS, "file_path string, language string, content string")))
+    """Symbols of a source file for each part, in four languages."""
+    key, pick = F.col("p_partkey").cast("string"), lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SOURCES]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/part"), key, F.lit("."), pick(0)).alias("file_path"), pick(1).alias("language"), F.replace(pick(2), F.lit("#"), key).alias("content"))
+    return extraction.with_symbol_ids(extraction.extract_symbols(files)).select("file_path", "kind", "full_name", "line_start", "line_end")
 
 
 # sinks and streams
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
-  UNION ALL SELECT * FROM (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0 AND user_id % 10 < 3 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)""")
+  UNION ALL SELECT * FROM (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)""")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    current = snapshot.last_wins(e.where("event_id % 2 = 0 AND user_id % 10 < 3"), "user_id", "event_id")
+    current = snapshot.last_wins(e.where("event_id % 2 = 0"), "user_id", "event_id")
     return snapshot.upsert(current, e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
@@ -391,17 +424,16 @@ def delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.delete_where_in(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["src1", "src7"])
 
 
-@query(f"WITH {_EDGES} SELECT * FROM edges WHERE relationship_type = 'In' AND source_symbol_id NOT IN (SELECT 's:' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+@query(f"WITH {_EDGES} SELECT * FROM edges WHERE source_symbol_id NOT IN (SELECT 's:' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def delete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s:"), "s_suppkey").alias("id"))
-    return snapshot.delete_where_in(star.relationships(spark, sf_dir).where("relationship_type = 'In'"), "source_symbol_id", gone)
+    return snapshot.delete_where_in(star.relationships(spark, sf_dir), "source_symbol_id", gone)
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a file stream, drained through foreachBatch; equals the batch result."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
     return watcher.upsert_stream(spark, source, "user_id", ["ts", "event_id"], ["event_id", "event_type"], f"{root}/table", f"{root}/progress").select("user_id", "event_id", "event_type")

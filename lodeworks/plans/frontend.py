@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import logging
 import re
+import threading
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +67,52 @@ def respell(sql: str) -> str:
     return "".join(out)
 
 
+def compat_predicates(sql: str) -> str:
+    """LIKE with only a leading and a trailing % as wildcards (without either the text is contained), and <> that holds for nulls."""
+    parts, out, i = tokens(sql), [], 0
+    while i < len(parts):
+        two = "".join(parts[i : i + 2])
+        if two in ("<>", "!="):
+            out.append(" IS DISTINCT FROM ")
+            i += 2
+            continue
+        p = parts[i]
+        if p.startswith("'") and _last(out) in ("LIKE", "ILIKE"):
+            text = p[1:-1]
+            head, tail = text.startswith("%"), text.endswith("%") and len(text) > 1
+            core = re.sub(r"([%_\\])", r"\\\\\1", text[head : len(text) - tail])
+            p = f"'{'%' if head or not tail else ''}{core}{'%' if tail or not head else ''}'"
+        out.append(p)
+        i += 1
+    return "".join(out)
+
+
+_COLUMN = r"(?:(\w+)\.)(\w+)"
+_PREFIX = re.compile(rf"(?<![\w.]){_COLUMN}\s+LIKE\s+{_COLUMN}\s*\|\|\s*'([^%_'\\]+)%'", re.I)
+
+
+def prefix_joins(sql: str) -> str:
+    """Joins ON b.x LIKE a.y || '.%' as equi-joins: b gives a row for each proper prefix of x that ends before the separator.
+
+    What a.y holds is taken as it is written, so % and _ in it are no wildcards.
+    Only where b is a table that an inner or comma join brings in, or the right
+    side of a left join, and the predicate stands in a conjunction: there each
+    row of b meets a.y in one of its prefixes at most, and as many rows come out.
+    """
+    m = _PREFIX.search(sql)
+    if not m or re.search(r"\b(OR|NOT|RIGHT|FULL|CASE|UNION|WITH)\b", sql, re.I) or _PREFIX.search(sql, m.end()):
+        return sql
+    b, x, a, y, sep = m.groups()
+    source = re.search(rf"\b(FROM|JOIN|,)\s*(\w+)\s+(?:AS\s+)?{b}\b", sql, re.I)
+    if not source or a.lower() == b.lower() or (source[1].upper() == "FROM" and re.search(r"\bLEFT\b", sql, re.I)):
+        return sql
+    n = len(sep)
+    cuts = f"filter(sequence(1, length({x})), i -> substring({x}, i, {n}) = '{sep}')"
+    table = f"{source[1]} (SELECT *, explode_outer(transform({cuts}, i -> substring({x}, 1, i - 1))) AS __prefix FROM {source[2]}) {b}"
+    out = sql[: m.start()] + f"{b}.__prefix = {a}.{y}" + sql[m.end() :]
+    return out.replace(source[0], table, 1)
+
+
 def _last(parts: list[str]) -> str:
     return next((p.upper() for p in reversed(parts) if p.strip()), "")
 
@@ -114,13 +163,43 @@ _CONTENT = re.compile(r"^\(?\s*(?:\w+\.)?Content\s+I?LIKE\s+'((?:''|[^'])*)'(?:\
 class Engine:
     """SQL over symbols, relationships and chunks.
 
-    ``compat`` restores strict shape rules: set operations and recursive CTEs are
-    refused, and a derived table needs an alias. The default accepts whatever
-    Spark SQL can do in one SELECT.
+    ``compat`` restores strict shape rules (set operations and recursive CTEs are
+    refused, a derived table needs an alias) and the older LIKE and <>.
+    ``simple`` accepts one SELECT from symbols or relationships alone. The default
+    accepts whatever Spark SQL can do in one SELECT. Division by zero is NULL.
+
+    Further tables may have any name. Names are bound while a statement is
+    analysed and not longer, so engines on one session don't see each other's
+    tables. ``failed`` is a file to which failed statements are appended.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], dim: int = vectors.DIM, compat: bool = False, max_results: int = 100):
+    _binding = threading.RLock()
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], dim: int = vectors.DIM, compat: bool = False, max_results: int = 100, simple: bool = False, most: int = 10_000, failed: str | None = None):
         self.spark, self.tables, self.dim, self.compat, self.max_results = spark, tables, dim, compat, max_results
+        self.simple, self.most, self.failed = simple, most, failed
+
+    @contextmanager
+    def _bound(self) -> Iterator[None]:
+        """The tables as views, with the session's own views of these names put back afterwards; x / 0 is NULL meanwhile."""
+        with self._binding:
+            catalog, conf = self.spark.catalog, self.spark.conf
+            views = schema.views(self.tables) | {"__ranked": None}
+            own = {v.name.lower() for v in catalog.listTables() if v.isTemporary}
+            before = {name: self.spark.table(name) for name in views if name.lower() in own}
+            ansi = conf.get("spark.sql.ansi.enabled")
+            conf.set("spark.sql.ansi.enabled", "false")
+            try:
+                for name, df in views.items():
+                    if df is not None:
+                        df.createOrReplaceTempView(name)
+                yield
+            finally:
+                conf.set("spark.sql.ansi.enabled", ansi)
+                for name in views:
+                    catalog.dropTempView(name)
+                for name, df in before.items():
+                    df.createOrReplaceTempView(name)
 
     def _check(self, sql: str) -> None:
         bare = [t for t in tokens(sql) if t.strip()]
@@ -142,6 +221,13 @@ class Engine:
             raise Rejected("SELECT needs a FROM clause")
         if re.search(r"^\s*[:+\- ]*'?(InsertInto|Create|Drop|Delete|Update|Merge)", shape, re.M):
             raise Rejected("only SELECT statements are supported")
+        if self.simple:
+            upper = [t.upper() for t in bare]
+            source = upper.index("FROM") + 1 if "FROM" in upper else len(upper)
+            if words[0] != "SELECT" or words.count("SELECT") != 1 or words.count("FROM") != 1 or {"JOIN", "UNION", "INTERSECT", "EXCEPT"} & set(words) or "," in upper[source : next((i for i, t in enumerate(upper) if i > source and t in ("WHERE", "GROUP", "HAVING", "ORDER", "LIMIT")), None)]:
+                raise Rejected("a simple SELECT from one table is expected")
+            if source >= len(upper) or upper[source] not in ("SYMBOLRECORD", "RELATIONSHIPRECORD"):
+                raise Rejected("only SymbolRecord and RelationshipRecord can be queried here; use semantic search for chunks")
         if self.compat:
             if re.search(r"'?(Union|Intersect|Except)\b", shape) or words.count("UNION") or words.count("INTERSECT") or words.count("EXCEPT"):
                 raise Rejected("set operations are not supported; use a simple SELECT")
@@ -154,15 +240,24 @@ class Engine:
         """The statement as a DataFrame, not run yet. Raises Rejected, or Spark's analysis errors."""
         text = respell(sql.strip().rstrip(";"))
         self._check(text)
-        schema.register(self.tables)
+        if self.compat:
+            text = compat_predicates(text)
+        with self._bound():
+            return self._frame(text)
+
+    def _frame(self, text: str) -> DataFrame:
         parts = tokens(text)
         at = _split(parts, ("ORDER", "BY"))
         keys = [p for p in parts[at + 1 :] if p.strip()] if at >= 0 else []
         if at >= 0 and len(keys) > 1 and keys[1].lower() == _VIRTUAL:
+            rest = [k.upper() for k in keys[2:]]
+            if rest[:1] in ([","], ["ASC"]) or rest[:2] == ["DESC", ","]:
+                raise Rejected("ORDER BY Similarity is descending and takes no further keys")
             return self._by_similarity(parts, at)
         if _VIRTUAL in [p.lower() for p in parts] and "chunkrecord" in [p.lower() for p in parts]:
             raise Rejected("Similarity can only be ordered by")
-        return _named(self.spark.sql(text), parts)
+        joined = prefix_joins(text)
+        return _named(self.spark.sql(joined).drop("__prefix"), parts)
 
     def _by_similarity(self, parts: list[str], order_at: int) -> DataFrame:
         """Top-k of chunks, or of a CTE joined to its chunks, by the text of Content LIKE."""
@@ -208,16 +303,19 @@ class Engine:
         return self.spark.sql(shown)
 
     def query(self, sql: str, max_results: int | None = None) -> Result:
-        """Run and collect at most ``max_results`` rows (the statement's own LIMIT wins) into the envelope."""
+        """Run and collect at most ``max_results`` rows (the statement's own LIMIT wins, up to ``most``) into the envelope; ``frame`` gives all rows."""
         began = time.perf_counter()
         try:
             df = self.frame(sql)
             limited = _split(tokens(sql), ("LIMIT",)) >= 0
-            rows = (df if limited else df.limit(max_results or self.max_results)).collect()
+            rows = df.limit(self.most if limited else min(max_results or self.max_results, self.most)).collect()
             return Result(True, len(rows), (time.perf_counter() - began) * 1000, df.columns, [r.asDict(recursive=True) for r in rows])
         except Exception as e:  # an error is an answer, too
             message = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
             log.warning("query failed: %s: %s", message, sql)
+            if self.failed:
+                with self._binding, open(self.failed, "a") as out:
+                    print(f"{message}\t{' '.join(sql.split())}", file=out)
             return Result(False, execution_time_ms=(time.perf_counter() - began) * 1000, error=message)
 
 

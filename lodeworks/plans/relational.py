@@ -1,6 +1,6 @@
 """Relational queries over the star schema and their SQL.
 
-Most are one text that both engines run. Catalyst chooses the physical plan:
+Most are one text that both engines run, Spark through the engine's SQL front end. Catalyst chooses the physical plan:
 filters and columns reach the Parquet scan, comma joins become hash joins, ORDER
 BY with LIMIT becomes a top-k.
 """
@@ -12,15 +12,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import TABLES, run_sql, table
+from ..sources.catalog import TABLES, table
+from .frontend import Engine
 
 #: key: SQL text that both engines run; {name} stands for a table.
 BOTH: dict[str, str] = {
     # scans and lookups
     "scan_filter": "SELECT p_partkey, p_name, p_size FROM {part} WHERE p_size >= 40 AND p_brand = 'Brand#13' ORDER BY p_partkey LIMIT 50",
     "lookup_by_id": "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey = 7",
-    "symbols_by_file": "SELECT doc_id, lang, n_chars FROM {documents} WHERE source = 'src3' ORDER BY doc_id LIMIT 100",
-    "symbols_by_kind": "SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 100",
+    "symbols_by_file": "SELECT doc_id, lang, n_chars FROM {documents} WHERE source = 'src3'",
+    "symbols_by_kind": "SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = 'BUILDING'",
     "chunks_by_symbol": "SELECT doc_id, text FROM {documents} WHERE source = 'src5'",
     "sql_passthrough": "SELECT o_orderpriority, COUNT(*) AS n FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 100",
     # projections
@@ -70,9 +71,9 @@ BOTH: dict[str, str] = {
     "distinct_cols": "SELECT DISTINCT p_brand, p_type FROM {part}",
     "distinct_expr": "SELECT DISTINCT p_size % 7 AS bucket, p_size * 2 > 50 AS large FROM {part}",
     # order and limit
-    "order_multi": "SELECT c_custkey, c_mktsegment, c_acctbal FROM {customer} ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 40",
+    "order_multi": "SELECT c_custkey, c_mktsegment, c_acctbal FROM {customer} ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey",
     "order_ordinal": "SELECT n_regionkey, n_name FROM {nation} ORDER BY 1 DESC, 2",
-    "order_computed": "SELECT p_partkey, p_retailprice - p_size * 10 AS margin FROM {part} ORDER BY margin DESC, p_partkey LIMIT 25",
+    "order_computed": "SELECT p_partkey, p_retailprice - p_size * 10 AS margin FROM {part} ORDER BY margin DESC, p_partkey",
     "order_hidden": "SELECT p_name FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
     "limit_rows": "SELECT o_orderkey FROM {orders} LIMIT 0",
     "topk": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
@@ -83,13 +84,12 @@ BOTH: dict[str, str] = {
     "derived_nested": """SELECT y.o_orderstatus, y.n FROM (SELECT x.o_orderstatus, COUNT(*) AS n FROM
         (SELECT o_orderstatus, o_totalprice FROM {orders} WHERE o_totalprice > 50000) x GROUP BY x.o_orderstatus) y WHERE y.n > 10""",
     # expressions
-    "expr_arith": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_quantity AS neg, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / NULLIF(l_linenumber - 1, 0) AS per_line FROM {lineitem} WHERE l_orderkey < 100",
     "expr_concat": "SELECT c_custkey, c_name || ':' || c_mktsegment AS label, c_name || NULLIF(c_mktsegment, 'BUILDING') AS maybe FROM {customer}",
     "expr_case": """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS size,
         CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS code, o_totalprice > 150000 AS rich FROM {orders}""",
     "expr_coalesce": """SELECT d.doc_id, COALESCE(l.quality, -1) AS quality, COALESCE(NULLIF(d.lang, 'en'), l.toxic || '', 'none') AS tag
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
-    "expr_cast": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(FLOOR(o_totalprice) AS BIGINT) AS whole FROM {orders} WHERE o_orderkey < 500",
+    "expr_cast": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(FLOOR(o_totalprice) AS BIGINT) AS whole FROM {orders}",
     "expr_predicates": """SELECT p_partkey, p_name LIKE '%a%' AS has_a, p_type ILIKE 'promo%' AS promo, p_size IN (1, 2, 3) AS tiny,
         NULLIF(p_brand, 'Brand#11') IS NULL AS brand11, p_size BETWEEN 10 AND 20 AS mid FROM {part}""",
     # roll-ups on plain columns
@@ -98,22 +98,14 @@ BOTH: dict[str, str] = {
 
 #: As BOTH, where the engines' dialects differ: (Spark, DuckDB).
 EACH: dict[str, tuple[str, str]] = {
+    "expr_arith": (
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_quantity AS neg, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / (l_linenumber - 1) AS per_line FROM {lineitem}",
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_quantity AS neg, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / NULLIF(l_linenumber - 1, 0) AS per_line FROM lineitem",
+    ),
     "json_metadata": (
         "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, to_json(named_struct('type', event_type, 'user', user_id)) AS meta FROM {events}",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(to_json({'type': event_type, 'user': user_id}) AS VARCHAR) AS meta FROM events",
     ),
-    "chunk_id": (
-        "SELECT doc_id, substring(sha2(concat_ws('|', source, text, source || '/' || doc_id), 256), 1, 32) AS chunk_id FROM {documents}",
-        "SELECT doc_id, sha256(concat_ws('|', source, text, source || '/' || doc_id))[1:32] AS chunk_id FROM documents",
-    ),
-    "latest_event_per_key": (
-        "SELECT user_id, max_by(event_id, struct(ts, event_id)) AS event_id, max_by(event_type, struct(ts, event_id)) AS event_type, max_by(value, struct(ts, event_id)) AS value FROM {events} GROUP BY user_id",
-        "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    ),
-    "hotspots": (
-        "SELECT event_type AS path, COUNT(*) AS commits, COUNT(DISTINCT user_id) AS authors, CAST(MIN(ts) AS DATE) AS first_date, CAST(MAX(ts) AS DATE) AS last_date FROM {events} GROUP BY event_type ORDER BY commits DESC, path LIMIT 10",
-        "SELECT event_type AS path, COUNT(*) AS commits, COUNT(DISTINCT user_id) AS authors, CAST(MIN(ts) AS DATE) AS first_date, CAST(MAX(ts) AS DATE) AS last_date FROM events GROUP BY event_type ORDER BY commits DESC, path LIMIT 10",
-    ),
 }
 
 
@@ -129,7 +121,13 @@ def _names(text: str) -> list[str]:
 
 
 def _query(text: str):
-    return lambda spark, sf_dir: run_sql(spark, sf_dir, text, _names(text))
+    """The statement through the SQL front end; ``o.o_orderkey`` is called o_orderkey, as other engines do."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = Engine(spark, {n: table(spark, sf_dir, n) for n in _names(text)}).frame(plain(text))
+        return df.toDF(*[c.rpartition(".")[2] for c in df.columns])
+
+    return run
 
 
 def plain(text: str) -> str:

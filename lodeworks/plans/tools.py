@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import architecture as arch
 from ..operators import graph, history, search
+from ..session import cut
 from ..sources import schema
 from .frontend import Engine
 
@@ -20,14 +22,33 @@ RELATIONS = ("Imports", "Calls", "Inherits", "Implements", "References", "TestCo
 class Tools:
     """Questions to one repository: its three tables, and its commits where there are any.
 
-    Each answer is bounded (top-k, distinct files, components), so it is collected.
+    An answer holds at most ``most`` rows of a kind, the first in its order;
+    ``chain_frame``, ``related_frame`` and ``impact_frame`` give all of them as
+    DataFrames. ``components`` (prefix, component) are those of build files; paths
+    outside them belong to their folder. History answers are kept for ``keep``
+    seconds.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], commits: DataFrame | None = None, dim: int = vectors.DIM, root: str = "", reindex: Callable[[], None] | None = None, all_kinds: bool = False):
-        self.spark, self.tables, self.commits, self.dim, self.root, self.reindex = spark, tables, commits, dim, root, reindex
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], commits: DataFrame | None = None, dim: int = vectors.DIM, root: str = "", reindex: Callable[[], dict[str, DataFrame] | None] | None = None, all_kinds: bool = False, components: DataFrame | None = None, most: int = 1000, keep: float = 300):
+        self.spark, self.commits, self.dim, self.root, self.reindex = spark, commits, dim, root, reindex
+        self.components, self.most, self.keep = components, most, keep
         self.kinds = None if all_kinds else arch.KINDS
-        self.symbols, self.edges = tables["symbols"], tables["relationships"]
         self.indexing, self.indexed_at = False, None
+        self._use(tables)
+
+    def _use(self, tables: dict[str, DataFrame]) -> None:
+        self.tables, self.symbols, self.edges = tables, tables["symbols"], tables["relationships"]
+        self._kept: dict[tuple, tuple[float, object]] = {}
+
+    def _cached(self, key: tuple, make: Callable[[], object]) -> object:
+        at, found = self._kept.get(key, (0.0, None))
+        if found is None or time.monotonic() - at > self.keep:
+            found = make()
+            self._kept[key] = (time.monotonic(), found)
+        return found
+
+    def _first(self, df: DataFrame) -> list[dict]:
+        return _dicts(df.limit(self.most))
 
     def ping(self) -> dict:
         return {"status": "indexing" if self.indexing else "ready", "last_indexed_at": self.indexed_at}
@@ -44,21 +65,31 @@ class Tools:
         return graph.with_descendants(self.symbols, path)
 
     def trace_dependency(self, symbol_path: str, direction: str = "downstream", relation_type: str = "all", depth: int = 1, include_tests: bool = False) -> dict:
-        chain = graph.with_payload(graph.trace(self.edges, self._start(symbol_path), direction.lower(), depth), self.symbols)
-        out = {"symbol": symbol_path, "direction": direction, "chain": _dicts(chain.orderBy("level", "edge_id", "direction")), "related": self.find_related_code(symbol_path, relation_type)}
+        chain = self.chain_frame(symbol_path, direction, depth)
+        out = {"symbol": symbol_path, "direction": direction, "chain": self._first(chain.orderBy("level", "edge_id", "direction")), "related": self.find_related_code(symbol_path, relation_type)}
         if include_tests:
             out["tests"] = self._tests(symbol_path)
         return out
 
+    def chain_frame(self, symbol_path: str, direction: str = "downstream", depth: int = 1) -> DataFrame:
+        return graph.with_payload(graph.trace(self.edges, self._start(symbol_path), direction.lower(), depth), self.symbols)
+
+    def related_frame(self, symbol_path: str, relation_type: str = "all") -> DataFrame:
+        return graph.related(self.edges, self.symbols, symbol_path, relation_type)
+
+    def impact_frame(self, symbol_path: str, depth: int = 2) -> DataFrame:
+        return graph.impact_files(graph.trace(self.edges, self._start(symbol_path), "downstream", depth), self.symbols)
+
     def find_related_code(self, symbol_path: str, relation_type: str = "all") -> list[dict]:
-        return _dicts(graph.related(self.edges, self.symbols, symbol_path, relation_type).orderBy("id"))
+        return self._first(self.related_frame(symbol_path, relation_type).orderBy("id"))
 
     def _tests(self, symbol_path: str) -> list[dict]:
-        return _dicts(graph.test_coverage(self.edges, self.symbols, self._start(symbol_path)).select("node", "file_path").distinct().orderBy("node"))
+        return self._first(graph.test_coverage(self.edges, self.symbols, self._start(symbol_path)).select("node", "file_path").distinct().orderBy("node"))
 
     def impact_analysis(self, symbol_path: str, depth: int = 2) -> dict:
-        files = graph.impact_files(graph.trace(self.edges, self._start(symbol_path), "downstream", depth), self.symbols)
-        return {"symbol": symbol_path, "files": [r[0] for r in files.orderBy("file_path").collect()], "components": _dicts(graph.impact_components(files).orderBy("component")), "tests": self._tests(symbol_path)}
+        files = cut(self.impact_frame(symbol_path, depth))
+        components = arch.with_component(files, self.components).groupBy("component").agg(F.count(F.lit(1)).alias("files"))
+        return {"symbol": symbol_path, "files": [r["file_path"] for r in self._first(files.orderBy("file_path"))], "components": self._first(components.orderBy("component")), "tests": self._tests(symbol_path)}
 
     def get_edit_context(self, symbol_path: str, include_dependencies: bool = True, depth: int = 1, include_source_code: bool = True) -> dict:
         target = graph.resolve(self.symbols, symbol_path)
@@ -80,7 +111,7 @@ class Tools:
         return out
 
     def get_architecture_overview(self, path: str | None = None, depth: int = 1) -> dict:
-        comps = arch.overview(self.symbols, arch.component_at_depth(F.col("file_path"), depth), path, self.kinds)
+        comps = arch.overview(arch.with_component(self.symbols, self.components, depth), F.col("component"), path, self.kinds)
         files = self.tables["chunks"].select("file_path", "language").distinct()
         if path:
             files = files.where(F.lower("file_path").startswith(path.lower()))
@@ -90,12 +121,15 @@ class Tools:
 
     def get_component_clusters(self, threshold: float = 0.3, depth: int = 1) -> list[dict]:
         symbols = self.symbols.where(F.col("kind").isin(*self.kinds)) if self.kinds else self.symbols
-        members = symbols.select("id", arch.component_at_depth(F.col("file_path"), depth).alias("component")).persist()
-        matrix = arch.coupling_matrix(self.edges, members).persist()
+        members = arch.with_component(symbols.select("id", "file_path"), self.components, depth).select("id", "component")
+        matrix = cut(arch.coupling_matrix(self.edges, members))
         grouped = arch.clusters(members, arch.coupling_pairs(matrix), threshold)
         return _dicts(arch.cluster_cohesion(grouped, matrix).orderBy(F.desc("cohesion"), "name"))
 
     def get_symbol_history(self, symbol_path: str, max_commits: int = 5) -> dict:
+        return self._cached(("history", symbol_path, max_commits), lambda: self._history(symbol_path, max_commits))
+
+    def _history(self, symbol_path: str, max_commits: int) -> dict:
         target = _dicts(graph.resolve(self.symbols, symbol_path))
         if not target or self.commits is None:
             return {"symbol": symbol_path, "total_commits": 0, "newest": []}
@@ -108,17 +142,20 @@ class Tools:
         if self.commits is None:
             return []
         recent = self.commits.select("hash", "date").distinct().orderBy(F.desc("date"), "hash").limit(max_commits * 10)
-        return _dicts(history.hotspots(self.commits.join(recent.select("hash"), "hash", "left_semi"), top))
+        return self._cached(("hotspots", top, max_commits), lambda: _dicts(history.hotspots(self.commits.join(recent.select("hash"), "hash", "left_semi"), top)))
 
     def sql_query(self, query: str, max_results: int = 100) -> dict:
         return Engine(self.spark, self.tables, self.dim).query(query, min(max(max_results, 1), 10_000)).dict()
 
     def rescan_repository(self) -> dict:
+        """Index anew. ``reindex`` writes new snapshots and returns the tables that read them; they replace the old ones
+        at once, and answers under way keep those they have opened."""
         if self.reindex is None:
             return {"status": "unavailable"}
         self.indexing = True
         try:
-            self.reindex()
+            tables = self.reindex()
+            self._use(tables or self.tables)
             self.indexed_at = datetime.now().isoformat()
         finally:
             self.indexing = False

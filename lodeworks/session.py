@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,6 +23,27 @@ def ship(spark: SparkSession) -> None:
     sc._lodeworks_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it; where it is unset, on a single machine, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not getattr(sc, "_lodeworks_shared", None):
+        sc._lodeworks_shared = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
+    return sc._lodeworks_shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, its rows in the shared folder: later readers don't go back to where it came from."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def create(master: str = "local[*]", name: str = "lodeworks", **conf: str) -> SparkSession:
     """A session with the settings the engine expects: UTC, adaptive execution, Arrow."""
     b = SparkSession.builder.master(master).appName(name)

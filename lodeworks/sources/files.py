@@ -17,6 +17,12 @@ def relative_path(uri, root: str):
     return F.regexp_replace(F.substring_index(uri, bare + "/", -1), "^/+", "")
 
 
+def utf8(raw):
+    """Bytes as text, without those that aren't UTF-8."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def crawl(spark: SparkSession, root: str, extensions: list[str] | None = None, ignore: str = "", compat: bool = False) -> DataFrame:
     """file_path (below root), content, language, size of the files under root.
 
@@ -25,7 +31,7 @@ def crawl(spark: SparkSession, root: str, extensions: list[str] | None = None, i
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
     named = files.select(relative_path(F.col("path"), root).alias("file_path"), F.col("content").alias("raw"), F.col("length").alias("size"))
-    return select_files(named, extensions, ignore, compat).select("file_path", F.decode("raw", "UTF-8").alias("content"), "size").withColumn("language", detect_language(F.col("file_path"), F.col("content")))
+    return select_files(named, extensions, ignore, compat).select("file_path", utf8(F.col("raw")).alias("content"), "size").withColumn("language", detect_language(F.col("file_path"), F.col("content")))
 
 
 def select_files(files: DataFrame, extensions: list[str] | None = None, ignore: str = "", compat: bool = False) -> DataFrame:

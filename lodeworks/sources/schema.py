@@ -30,14 +30,14 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def register(tables: dict[str, DataFrame]) -> None:
-    """Views for both spellings: symbols and SymbolRecord, with the latter's column names."""
+def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What SQL can name: every table, and the logical ones in both spellings (symbols and SymbolRecord, with the latter's column names)."""
+    found = dict(tables)
     for logical, (name, columns) in LOGICAL.items():
         if name in tables:
-            df = tables[name]
-            df.createOrReplaceTempView(name)
-            have = {c.lower() for c in df.columns}
-            df.selectExpr(*[f"{'to_json(metadata)' if v == 'metadata' else v} AS {k}" for k, v in columns.items() if v in have]).createOrReplaceTempView(logical)
+            have = {c.lower() for c in tables[name].columns}
+            found[logical] = tables[name].selectExpr(*[f"{'to_json(metadata)' if v == 'metadata' else v} AS {k}" for k, v in columns.items() if v in have])
+    return found
 
 
 def describe() -> str:

@@ -45,6 +45,17 @@ def check_dimension(chunks: DataFrame, dim: int) -> DataFrame:
     return chunks.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"embedding must have {dim} dimensions, has "), F.size("embedding")))))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots in a folder, ascending."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
@@ -55,11 +66,7 @@ class SnapshotStore:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _versions(self, table: str) -> list[int]:
-        p, fs = self._fs(f"{self.path}/{table}")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"{self.path}/{table}/{n}/_SUCCESS")[0]))
+        return versions(self.spark, f"{self.path}/{table}")
 
     def read(self, table: str) -> DataFrame:
         """The newest snapshot; an empty table if there is none."""
@@ -70,7 +77,9 @@ class SnapshotStore:
         n = (self._versions(table) or [-1])[-1] + 1
         if table == "chunks" and self.dim:
             rows = check_dimension(rows, self.dim)
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{n:09d}")
+        # sorted inside files, so row groups outside a looked-up file or source are skipped
+        order = {"symbols": ("file_path", "id"), "relationships": ("source_symbol_id", "id"), "chunks": ("file_path", "id")}[table]
+        rows.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/{n:09d}")
 
     def upsert(self, table: str, batch: DataFrame, order: str | None = None) -> None:
         self.write(table, upsert(self.read(table), batch, KEYS[table], order))

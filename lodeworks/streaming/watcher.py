@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import vectors
 from ..operators.extraction import extract_references, extract_symbols, with_symbol_ids
 from ..operators.chunking import symbol_chunks
 from ..operators.names import resolve_names
-from ..sources.snapshot import SnapshotStore, upsert
+from ..sources.snapshot import SnapshotStore, upsert, versions
 
 
 def latest_per_key(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -36,14 +37,19 @@ def edges_of(references: DataFrame, sources: DataFrame, targets: DataFrame) -> D
     return edges.select(F.concat("source_symbol_id", F.lit("->"), "target_symbol_id", F.lit(":"), "relationship_type").alias("id"), "*")
 
 
+def embedded(chunks: DataFrame, store: SnapshotStore) -> DataFrame:
+    """Chunks, once for each id, with the embedding of their content in the store's dimension."""
+    return chunks.dropDuplicates(["id"]).withColumn("embedding", vectors.embed_column(F.col("content"), store.dim or vectors.DIM))
+
+
 def index_files(files: DataFrame, store: SnapshotStore) -> None:
-    """Full index of files(file_path, content, language): symbols, edges and chunks replace what the store has."""
+    """Full index of files(file_path, content, language): symbols, edges and chunks with their embeddings replace what the store has."""
     files = files.persist()
     try:
         store.write("symbols", with_symbol_ids(extract_symbols(files)))
         symbols = store.read("symbols")
         store.write("relationships", edges_of(extract_references(files), symbols, symbols))
-        store.write("chunks", symbol_chunks(files, symbols).withColumn("embedding", F.lit(None).cast("array<float>")).dropDuplicates(["id"]))
+        store.write("chunks", embedded(symbol_chunks(files, symbols), store))
     finally:
         files.unpersist()
 
@@ -70,7 +76,7 @@ def apply_changes(changes: DataFrame, store: SnapshotStore) -> None:
         follow = alive.join(moved, F.col("target_symbol_id") == F.col("gid")).select("source_symbol_id", F.col("nid").alias("target_symbol_id"), "relationship_type")
         every = stay.unionByName(follow).unionByName(own.select("source_symbol_id", "target_symbol_id", "relationship_type")).distinct()
         chunks = store.read("chunks").join(touched, F.col("file_path") == F.col("tp"), "left_anti")
-        new_chunks = symbol_chunks(files, fresh).withColumn("embedding", F.lit(None).cast("array<float>")).dropDuplicates(["id"])
+        new_chunks = embedded(symbol_chunks(files, fresh), store)
         store.write("chunks", chunks.unionByName(new_chunks))
         store.write("relationships", every.select(F.concat("source_symbol_id", F.lit("->"), "target_symbol_id", F.lit(":"), "relationship_type").alias("id"), "*"))
         store.write("symbols", after)
@@ -86,24 +92,25 @@ def watch(changes: DataFrame, store: SnapshotStore, checkpoint: str, quiet: str
 def upsert_stream(spark: SparkSession, source: DataFrame, key: str, order: list[str], values: list[str], path: str, checkpoint: str, after_batch: Callable[[int], None] | None = None) -> DataFrame:
     """Drain a stream into a last-wins table under ``path`` and return it.
 
-    Every batch writes a new snapshot named by its number from the one before,
-    so a replayed batch overwrites only its own.
+    Every batch writes a new snapshot, named by its number, from the newest
+    complete one of a lower number: a replayed batch overwrites only its own, and
+    a restart goes on from what is there.
     """
     schema = f"{key} {source.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in dict.fromkeys(order + values))
-    last: list[str] = []
 
     def apply(batch: DataFrame, n: int) -> None:
         cols = list(dict.fromkeys(order + values))
         new = latest_per_key(batch, key, order, cols)
-        if last:  # an older event that arrives late must not win
-            new = latest_per_key(spark.read.schema(schema).parquet(last[-1]).unionByName(new), key, order, cols)
+        before = [v for v in versions(spark, path) if v < n]
+        if before:  # an older event that arrives late must not win
+            new = latest_per_key(spark.read.schema(schema).parquet(f"{path}/{before[-1]}").unionByName(new), key, order, cols)
         new.write.mode("overwrite").parquet(f"{path}/{n}")
-        last.append(f"{path}/{n}")
         if after_batch:
             after_batch(n)
 
     source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(last[-1]).select(key, *values) if last else spark.createDataFrame([], schema).select(key, *values)
+    done = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{done[-1]}").select(key, *values) if done else spark.createDataFrame([], schema).select(key, *values)
 
 
 __all__ = ["apply_changes", "edges_of", "index_files", "latest_per_key", "upsert", "upsert_stream", "watch"]

@@ -149,6 +149,8 @@ def test_extraction_of_other_languages():
     assert {s["name"] for s in rs} >= {"T", "P", "go"} and ("T", "Implements") in {(r["target"], r["relationship_type"]) for r in refs}
     ts, _ = extraction.extract("export interface I {\n}\nexport class C implements I {\n  open(): void {\n  }\n}\n", "TypeScript")
     assert {(s["name"], s["kind"]) for s in ts} >= {("I", "Interface"), ("C", "Class"), ("open", "Method")}
+    _, refs = extraction.extract("type Base struct {\n}\ntype S struct {\n    *pkg.Base\n    n int\n}\nfunc (s *S) Run(a Arg) Result {\n}\n", "Go")
+    assert {(r["source"], r["target"], r["relationship_type"]) for r in refs} >= {("S", "Base", "Inherits"), ("S.Run", "Arg", "References"), ("S.Run", "Result", "References")}
     assert extraction.extract("def broken(:", "Python") == ([], []) and extraction.extract(None, "Go") == ([], [])
     assert extraction.extract('<p id="x">', "Html")[0][0]["name"] == "x"
 
@@ -190,6 +192,61 @@ def test_crawl_index_and_watch(spark, tmp_path):
     assert store.read("chunks").count() == 0
 
 
+def test_crawl_reads_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = '\xff'\n")
+    (tmp_path / "b.py").write_text("y = '\ufffd'\n")
+    assert {r["file_path"]: r["content"] for r in files.crawl(spark, str(tmp_path), ["py"]).collect()} == {"a.py": "x = ''\n", "b.py": "y = '\ufffd'\n"}
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    def put(rows, name):
+        spark.createDataFrame(rows, "k int, seq int, v string").coalesce(1).write.parquet(f"file://{tmp_path}/in/{name}")
+
+    def drain():
+        source = spark.readStream.schema("k int, seq int, v string").parquet(f"file://{tmp_path}/in/*")
+        return {r["k"]: r["v"] for r in watcher.upsert_stream(spark, source, "k", ["seq"], ["v"], f"file://{tmp_path}/table", f"file://{tmp_path}/progress").collect()}
+
+    put([(1, 1, "a"), (2, 1, "b")], "one")
+    assert drain() == {1: "a", 2: "b"} == drain()
+    put([(3, 1, "c"), (1, 0, "late"), (2, 2, "new")], "two")
+    assert drain() == {1: "a", 2: "new", 3: "c"}
+
+
+def test_components_of_build_files(spark):
+    paths = ["go.mod", "main.go", "lib/a.csproj", "lib/package.json", "lib/x/y.cs", "web/package.json", "web/app/i.ts"]
+    found = arch.discover_components(spark.createDataFrame([(p,) for p in paths], "file_path string"))
+    assert {(r["prefix"], r["build_file"], r["component"]) for r in found.collect()} == {("", "go.mod", "root"), ("lib", "a.csproj", "lib"), ("web", "package.json", "web")}
+    rows = spark.createDataFrame([("lib/x/y.cs",), ("main.go",), ("web/app/i.ts",)], "file_path string")
+    assert {r["file_path"]: r["component"] for r in arch.with_component(rows, found).collect()} == {"lib/x/y.cs": "lib", "main.go": "root", "web/app/i.ts": "web"}
+    assert {r["component"] for r in arch.with_component(rows, found.where("prefix = 'lib'")).collect()} == {"lib", "main.go", "web"}
+
+
+def test_host(spark, tmp_path):
+    """From a configured path to answers: index with embeddings, components, rescan, failed clones."""
+    from lodeworks.plans.hosting import Host
+
+    root = tmp_path / "repo"
+    for name, text in {"auth/pyproject.toml": "x", "auth/a.py": "class AuthService:\n    def login(self):\n        connect()\n", "db/b.py": "def connect():\n    return 'database connection'\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    host = Host(spark, registry.Registry(), f"file://{tmp_path}/stores", str(tmp_path / "clones"), dim=64)
+    assert host.bootstrap({"One": str(root), "Two": f"file://{tmp_path}/nothing"}) == ["one"]
+    assert host.enqueue("One").result() and host.registry.get("one").index_status == "Done"
+    host._under_way.add("one")
+    assert host.enqueue("ONE") is None
+    host._under_way.clear()
+    tools = host.repositories["one"]
+    assert tools.semantic_search("database connection", 1)[0]["symbol_name"] == "connect"
+    got = tools.sql_query("SELECT FilePath FROM ChunkRecord WHERE Content LIKE '%database connection%' ORDER BY Similarity LIMIT 1")
+    assert [r["FilePath"] for r in got["rows"]] == ["db/b.py"], got
+    assert {r["component"] for r in tools.get_architecture_overview()["components"]} == {"auth"}
+    (root / "db/b.py").write_text("def other():\n    pass\n")
+    old = tools.symbols
+    assert tools.rescan_repository()["symbols"] == 3 and {r["name"] for r in tools.symbols.collect()} == {"AuthService", "login", "other"}
+    assert old.count() == 3
+    assert not host.enqueue("Two").result() and host.registry.get("two").clone_status == "Failed"
+
+
 def test_upsert(spark):
     current = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, n int")
     batch = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "id int, v string, n int")
@@ -212,6 +269,15 @@ def test_git_log(spark, tmp_path):
     exported.write_text(run("log", git_log.FORMAT, "--date=short", "--name-only"))
     assert {tuple(r) for r in git_log.read_log(spark, f"file://{exported}").collect()} == {tuple(r) for r in got.collect()}
     assert git_log.read_git(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "@types").mkdir()
+    for name in ("@types/a b.ts", "é.txt"):
+        (tmp_path / name).write_text("x")
+    run("add", ".")
+    run("commit", "-qm", "@tab\there")
+    want = {("@tab\there", "@types/a b.ts"), ("@tab\there", "é.txt")}
+    exported.write_text(run("-c", "core.quotePath=false", "log", git_log.FORMAT, "--date=short", "--name-only"))
+    for found in (git_log.read_git(spark, str(tmp_path)), git_log.read_log(spark, f"file://{exported}")):
+        assert {(r["subject"], r["path"]) for r in found.collect()} >= want and found.count() == 4 and found.where("date IS NULL").count() == 0
 
 
 def test_registry(spark, tmp_path):

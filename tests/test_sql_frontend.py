@@ -94,6 +94,53 @@ def test_default_mode_is_a_superset(spark, engine):
         free.frame("DROP TABLE x")
 
 
+def test_division_by_zero_is_null(spark, engine):
+    assert values(engine, "SELECT 7 / (LineStart - LineStart) AS a, 7 % (LineStart - 1) AS b FROM SymbolRecord WHERE Name = 'MyClass'") == [(None, None)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_compat_predicates(spark, engine):
+    assert [n for (n,) in values(engine, "SELECT Name FROM SymbolRecord WHERE Name LIKE 'Method'")] == ["MyMethod"]
+    assert [n for (n,) in values(engine, "SELECT Name FROM SymbolRecord WHERE Name LIKE '_%'")] == ["_private"]
+    assert len(values(engine, "SELECT Name FROM SymbolRecord WHERE Documentation <> 'x'")) == 5
+    free = Engine(spark, engine.tables, dim=DIM)
+    assert free.query("SELECT Name FROM SymbolRecord WHERE Name LIKE '_%'").row_count == 5
+    assert free.query("SELECT Name FROM SymbolRecord WHERE Documentation <> 'x'").row_count == 0
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["SymbolRecord p JOIN SymbolRecord c ON c.FullName LIKE p.FullName || '.%'", "SymbolRecord p, SymbolRecord c WHERE c.FullName LIKE p.FullName || '.%' AND p.Kind = 'Class'"],
+)
+def test_like_prefix_join_is_an_equi_join(engine, source):
+    sql = f"SELECT p.Name AS parent, c.Name AS child FROM {source}"
+    assert sorted(values(engine, sql)) == [("MyClass", "MyMethod"), ("MyClass", "_private")]
+    plan = engine.frame(sql)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    left = "SELECT p.Name AS parent, COUNT(c.Id) AS n FROM SymbolRecord p LEFT JOIN SymbolRecord c ON c.FullName LIKE p.FullName || '.%' GROUP BY p.Name ORDER BY n DESC LIMIT 1"
+    assert values(engine, left) == [("MyClass", 2)]
+    assert "__prefix" not in engine.frame(f"SELECT * FROM {source}").columns
+
+
+def test_engines_do_not_see_each_other(spark, engine):
+    other = Engine(spark, {"symbols": engine.tables["symbols"].where("kind = 'Class'")})
+    a, b = engine.frame("SELECT Name FROM SymbolRecord"), other.frame("SELECT Name FROM SymbolRecord")
+    assert (a.count(), b.count()) == (5, 2)
+    assert not other.query("SELECT Id FROM ChunkRecord").success
+    spark.range(3).createOrReplaceTempView("symbols")
+    assert engine.query("SELECT name FROM symbols").row_count == 5 and spark.table("symbols").count() == 3
+    spark.catalog.dropTempView("symbols")
+
+
+def test_bounds_and_simple_shape(spark, engine, tmp_path):
+    small = Engine(spark, engine.tables, dim=DIM, most=2, simple=True, failed=str(tmp_path / "failed.txt"))
+    assert small.query("SELECT Name FROM SymbolRecord LIMIT 4").row_count == 2 and small.query("SELECT Kind, COUNT(*) AS n FROM SymbolRecord GROUP BY Kind ORDER BY n", 9).row_count == 2
+    for sql in ("SELECT Id FROM ChunkRecord", "SELECT s.Name FROM SymbolRecord s, RelationshipRecord r", "SELECT s.Name FROM SymbolRecord s JOIN RelationshipRecord r ON r.Id = s.Id", "WITH a AS (SELECT Name FROM SymbolRecord) SELECT * FROM a", "SELECT Name FROM (SELECT Name FROM SymbolRecord) x"):
+        assert not small.query(sql).success
+    assert len((tmp_path / "failed.txt").read_text().splitlines()) == 5
+    assert not engine.query("SELECT FilePath FROM ChunkRecord WHERE Content LIKE '%x%' ORDER BY Similarity, FilePath").success
+
+
 def test_respell_leaves_strings():
     assert respell("SELECT 'CAST(x AS TEXT)', CAST(x AS TEXT) FROM t") == "SELECT 'CAST(x AS TEXT)', CAST(x AS STRING) FROM t"
 
