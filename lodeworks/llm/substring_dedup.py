@@ -14,16 +14,19 @@ stays one row per task:
 
 Equal texts are folded to one row with a count before the second step.
 
-The index keeps the anchors of earlier batches as sorted immutable runs
-(anchor, text key, occurrences), merge-joined with each new batch and compacted
-when there are many, beside the texts themselves: those that share an anchor
-with the batch supply the windows to verify against.
+Anchors live in a log-structured index: each batch of texts writes one sorted,
+immutable run of (anchor, text key, times, batch), bucketed by anchor. Runs meet
+in merge joins on the anchor that move no run (buckets are their partitioning);
+many runs are compacted into one. ``substring_dedup`` feeds its table to an index
+batch by batch and judges all of it against the merged runs. ``FingerprintIndex``
+keeps the index between calls and judges each new batch against what came before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, ship
+from .common import SPACE, materialize, new_path, ship
 from .hashing import chunks, list_column, mix, ngrams, sliding, to_lists
 
 WINDOW, GRAM = 35, 8
-_POS = 26  # bits of a word's place in its text; a text's number has the rest
+#: Batches in which substring_dedup adds its table to the index, and runs beyond which they are compacted.
+BATCHES, FANOUT = 3, 8
 
 
 def words(text: Column) -> Column:
@@ -63,8 +67,14 @@ def _elected(values: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.n
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = window - GRAM + 1
+        w, seen = window - GRAM + 1, set()  # copies of a text count once in a task
         for batch in batches:
+            fresh = []
+            for i, key in enumerate(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             k1, k2 = (batch.column(i).to_numpy() for i in range(2))
             flat, off = list_column(batch, "wh")
             for i, j in chunks(off):
@@ -87,7 +97,7 @@ def _anchors(window: int):
 
 
 def anchor_postings(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Anchors of each text: hash, k1, k2, times (in the text; 2 for more)."""
+    """Anchors of each text, once in a task: hash, k1, k2, times (in the text; 2 for more)."""
     wh = keyed.select("k1", "k2", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
     return wh.mapInArrow(_anchors(window), "hash long, k1 long, k2 long, times byte")
 
@@ -100,13 +110,9 @@ def _candidates(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        if part >= 1 << 17:
-            raise ValueError("more than 131072 partitions of texts")
         for batch in batches:
             flat, off = list_column(batch, "wh")
             pflat, poff = list_column(batch, "private")
-            if len(off) > 1 and np.diff(off).max() >= 1 << _POS:
-                raise ValueError("a text of 2**26 words or more")
             starts, ends, counts = [], [], np.zeros(batch.num_rows, np.int32)
             for i, j in chunks(off):
                 o = off[i : j + 1] - off[i]
@@ -128,10 +134,8 @@ def _candidates(window: int):
                 starts.append((edge_on - o[d]).astype(np.int32))
                 ends.append((end - o[d]).astype(np.int32))
                 counts[i:j] += np.bincount(d, minlength=j - i).astype(np.int32)
-            rid = (np.int64(part) << 20) + np.arange(row, row + batch.num_rows, dtype=np.int64)
+            rid = (np.int64(part) << 33) + np.arange(row, row + batch.num_rows, dtype=np.int64)
             row += batch.num_rows
-            if row > 1 << 20:
-                raise ValueError("more than 2**20 texts in a partition; raise spark.sql.shuffle.partitions")
             text = pa.array(np.where(counts > 0, batch.column("text").to_numpy(zero_copy_only=False), None), pa.string())
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +152,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _windows(window: int):
-    """Per candidate window: two hashes, and its place as lowest and highest; a text that stands for several counts as two places."""
+    """Per candidate window: two hashes, and its place (text, word) as lowest and highest; a text that stands for several counts as two places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +168,9 @@ def _windows(window: int):
                 if not len(at):
                     continue
                 rows = np.repeat(row, b - a)
-                place = (rid[rows] << _POS) | (at - (off[rows] - off[i]))
+                place = (at - (off[rows] - off[i])).astype(np.int32)
                 h, c = ngrams(v, window)[at], ngrams(v, window, salt=0x5BD1E995)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place), pa.array(place + many[rows])], ["h", "c", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rid[rows]), pa.array(rid[rows]), pa.array(place), pa.array(place + many[rows].astype(np.int32))], ["h", "c", "lo", "hi", "first", "last"])
 
     return run
 
@@ -201,25 +205,24 @@ def _removed(window: int):
     return run
 
 
-def _judge(keyed: DataFrame, postings: DataFrame, history: tuple[DataFrame, DataFrame] | None, window: int) -> DataFrame:
-    """k1, k2, n_words, n_removed, kept_sha256, kept (null: all words) per distinct text of the batch."""
+def _judge(keyed: DataFrame, merged: DataFrame, window: int, history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """k1, k2, n_words, n_removed, kept_sha256, kept (null: all words) per distinct text of keyed.
+
+    merged: the anchors of keyed, and of the index where they occur there, folded
+    (see ``_folded``). history: what the index has of those anchors (hash, k1, k2)
+    and its texts.
+    """
     texts = keyed.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("mult")).withColumn("new", F.lit(True))
-    every = postings
+    own = merged.where("lo = hi AND times = 1").select(F.col("lo").alias("p1"), "p2", "hash")
     if history:
-        runs, old_texts = history
-        mine = postings.select("hash").distinct()
-        shared = runs.join(mine, "hash", "left_semi")
-        every = postings.unionByName(shared)
-        touched = shared.select("k1", "k2").distinct()
-        # a text that the index has too counts once more; other texts of the index lend their windows
-        same = old_texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+        shared, old_texts = history
         known = keyed.select("k1", "k2").distinct()
+        # a text that the index has too counts once more; other texts of the index lend their windows
+        same = old_texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2")).distinct()
         texts = texts.join(same, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left").withColumn("mult", F.when(F.col("o1").isNull(), F.col("mult")).otherwise(F.col("mult") + 1)).drop("o1", "o2")
-        texts = texts.unionByName(old_texts.join(touched, ["k1", "k2"], "left_semi").join(known, ["k1", "k2"], "left_anti").withColumn("new", F.lit(False)))
-    folded = every.groupBy("hash").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("k2").alias("p2"), F.max("times").alias("times"))
-    own = folded.where("lo = hi AND times = 1").select(F.col("lo").alias("p1"), "p2", "hash")
-    if history:  # of an old text, only the windows that elect an anchor of the batch matter
-        own = own.unionByName(runs.join(touched, ["k1", "k2"], "left_semi").join(known, ["k1", "k2"], "left_anti").join(mine, "hash", "left_anti").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "hash"))
+        touched = shared.select("k1", "k2").distinct().join(known, ["k1", "k2"], "left_anti")
+        lent = old_texts.join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("mult"))
+        texts = texts.unionByName(lent.withColumn("new", F.lit(False)))
     private = own.groupBy("p1", "p2").agg(F.collect_list("hash").alias("private"))
     w = words(F.col("text"))
     joined = texts.join(private, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left").select(
@@ -236,12 +239,12 @@ def _judge(keyed: DataFrame, postings: DataFrame, history: tuple[DataFrame, Data
     open_ = texts.where("text IS NOT NULL")
     places = (
         open_.select("rid", "mult", "starts", "ends", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("wh"))
-        .mapInArrow(_windows(window), "h long, c int, lo long, hi long")
+        .mapInArrow(_windows(window), "h long, c int, lo long, hi long, first int, last int")
         .groupBy("h", "c")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where("lo = hi")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .where("lo = hi AND first = last")
     )
-    unique = places.groupBy(F.shiftright("lo", _POS).alias("urid")).agg(F.collect_list((F.col("lo").bitwiseAND(F.lit((1 << _POS) - 1))).cast("int")).alias("unique"))
+    unique = places.groupBy(F.col("lo").alias("urid")).agg(F.collect_list("first").alias("unique"))
     # where the windows' anchors are private, only copies of the whole text can repeat them
     decided = open_.where("new").join(unique, F.col("rid") == F.col("urid"), "left").select("k1", "k2", "mult", "n_words", "text", "starts", "ends", F.coalesce("unique", F.array().cast("array<int>")).alias("unique"))
     cut = decided.mapInArrow(_removed(window), _REMOVED).select("k1", "k2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "kept")
@@ -257,76 +260,178 @@ def _judge(keyed: DataFrame, postings: DataFrame, history: tuple[DataFrame, Data
     return cut.unionByName(rest)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
     Words are runs of anything but ASCII white space. Every word covered by a
     window of ``window`` consecutive words whose sequence also starts anywhere
-    else in docs, the same document included, is removed, in all its places.
+    else in docs, the same document included, is removed, in all its places. The
+    number of batches in which the table goes to the index doesn't matter for it.
 
-    Edge cases: null and empty texts have no words; texts of fewer than
+    Edge cases: null and empty texts have no words; very long texts are hashed in
+    parts and have no limit but Spark's own of 2^31 array elements; texts of fewer than
     ``window`` words lose nothing; repeated rows are copies of each other; null
     ids work like others; an empty table gives an empty result; further columns
     are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
-    judged = _judge(keyed, anchor_postings(keyed, window), None, window).drop("kept")
+    index = _Runs(docs.sparkSession, new_path(docs.sparkSession, "fingerprints"))
+    for i in range(batches):
+        part = keyed.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else keyed
+        index.write(i, anchor_postings(part, window))
+    if len(index.spans()) > FANOUT:
+        index.compact()
+    judged = _judge(keyed, index.merged(), window).drop("kept")
     rows = keyed.select("doc_id", F.col("k1").alias("d1"), F.col("k2").alias("d2"))
     return rows.join(judged, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _folded(run: DataFrame) -> DataFrame:
+    """A row for each anchor: whether one text has it (lo = hi), that text's key (lo, p2), and how often."""
+    return run.groupBy("hash").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("k2").alias("p2"), F.max("times").alias("times"))
+
+
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two folded runs as one, by a merge join on the anchor."""
+    a, b = (x.toDF(*[f"{n}_{c}" for c in ("hash", "lo", "hi", "p2", "times")]) for n, x in (("a", a), ("b", b)))
+    both = a.join(b, F.col("a_hash") == F.col("b_hash"), "full")
+    return both.select(F.coalesce("a_hash", "b_hash").alias("hash"), F.least("a_lo", "b_lo").alias("lo"), F.greatest("a_hi", "b_hi").alias("hi"), F.least("a_p2", "b_p2").alias("p2"), F.greatest("a_times", "b_times").alias("times"))
+
+
+class _Runs:
+    """Sorted immutable runs of anchors under path/<first batch>_<last batch>, each one bucketed Parquet table.
+
+    A run is there once Spark has written its _SUCCESS file. Compaction writes
+    the run of all batches before it deletes their own; runs inside the span of
+    another one are not read.
+    """
+
+    SCHEMA = "hash long, k1 long, k2 long, times byte, batch int"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, path: str) -> list[str]:
+        p, fs = self.fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def there(self, path: str) -> bool:
+        p, fs = self.fs(path)
+        return fs.exists(p)
+
+    def drop(self, path: str) -> None:
+        p, fs = self.fs(path)
+        fs.delete(p, True)
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Batches of the runs to read."""
+        done = [tuple(map(int, n.split("_"))) for n in self.names(self.path) if self.there(f"{self.path}/{n}/_SUCCESS")]
+        return sorted(s for s in done if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in done))
+
+    def _at(self, span: tuple[int, int]) -> str:
+        return f"{self.path}/{span[0]:09d}_{span[1]:09d}"
+
+    def write(self, batch: int, postings: DataFrame) -> None:
+        rows = postings.repartition(self.buckets, "hash").groupBy("hash", "k1", "k2").agg(F.max("times").alias("times"))
+        self._save(rows.withColumn("batch", F.lit(batch)), (batch, batch))
+
+    def _save(self, rows: DataFrame, span: tuple[int, int]) -> None:
+        name = f"lodeworks_{uuid4().hex}"  # a bucketed write needs a table's name, for its time only
+        rows.write.format("parquet").option("compression", "zstd").option("path", self._at(span)).bucketBy(self.buckets, "hash").sortBy("hash").mode("overwrite").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    def read(self, span: tuple[int, int]) -> DataFrame:
+        """A run, in its buckets."""
+        name = f"lodeworks_{uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self._at(span)}'")
+        try:
+            return self.spark.table(name).select("hash", "k1", "k2", "times", "batch")
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def merged(self) -> DataFrame:
+        """All runs, folded and merge-joined."""
+        return reduce(_merge, [_folded(self.read(s)) for s in self.spans()])
+
+    def compact(self) -> None:
+        """One run of all."""
+        spans = self.spans()
+        if len(spans) > 1:
+            every = reduce(DataFrame.unionByName, [self.read(s) for s in spans])
+            self._save(every.repartition(self.buckets, "hash"), (spans[0][0], spans[-1][1]))
+        for name in self.names(self.path):
+            if tuple(map(int, name.split("_"))) not in self.spans():
+                self.drop(f"{self.path}/{name}")
+
+
 class FingerprintIndex:
     """Incremental substring dedup against everything added before.
 
-    ``path`` is a folder in a store all executors share. It holds runs/<n>
-    (anchors, sorted) and texts/<n> (distinct texts) for each batch; a batch
-    counts once its _SUCCESS files are there, so a job that died leaves nothing
-    that is read. ``compact`` merges all runs into one.
+    ``path`` is a folder in a store all executors share. Batch n writes texts/<n>
+    (its distinct texts) and a run of its anchors, then the marker commits/<n>: a
+    batch counts once the marker is there, so a job that died leaves nothing that
+    is read, and adding n again goes on from there. Batches are numbered upwards
+    by the caller. The number of buckets stays as it was when the index began.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, fanout: int = 8):
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.path, self.window, self.fanout = spark, path.rstrip("/"), window, fanout
+        self._runs = _Runs(spark, f"{self.path}/runs", buckets)
+        made = [n for n in self._runs.names(f"{self.path}/buckets") if n.isdigit()]
+        self._runs.buckets = int(made[0]) if made else self._runs.buckets
+        if not made:
+            self._touch(f"buckets/{self._runs.buckets}")
+
+    def _touch(self, name: str) -> None:
+        p, fs = self._runs.fs(f"{self.path}/{name}")
+        fs.mkdirs(p)
 
-    def _done(self, kind: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-        return [f"{self.path}/{kind}/{n}" for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS"))]
+    def committed(self) -> list[int]:
+        return [int(n) for n in self._runs.names(f"{self.path}/commits") if n.isdigit()]
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.read.parquet(p) for p in self._done("runs")]
+    def runs(self) -> list[tuple[int, int]]:
+        """First and last batch of each run."""
+        done = set(self.committed())
+        return [s for s in self._runs.spans() if s[0] != s[1] or s[0] in done]
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Judge a batch against the index and itself, then add it.
+    def add(self, docs: DataFrame, batch: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Add a batch (the next one, if no number is given) and judge it against itself and the batches of lower numbers.
 
         Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null: unchanged).
+        Edge cases are those of ``substring_dedup``.
         """
+        done = self.committed()
+        batch = max(done, default=-1) + 1 if batch is None else batch
         keyed = materialize(_keyed(docs, id_col, text_col), "substring-batch")
-        runs, texts = self.runs(), self._done("texts")
-        batch = materialize(anchor_postings(keyed, self.window).distinct(), "substring-run")
-        history = (reduce(DataFrame.unionByName, runs), self.spark.read.parquet(*texts)) if runs else None
-        judged = materialize(_judge(keyed, batch, history, self.window), "substring-judged")
-        n = f"{len(texts):09d}"
-        new = keyed.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("mult"))
-        if texts:
-            new = new.join(self.spark.read.parquet(*texts).select("k1", "k2"), ["k1", "k2"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.path}/texts/{n}")
-        batch.repartition("hash").sortWithinPartitions("hash").write.mode("overwrite").parquet(f"{self.path}/runs/{n}")
-        if len(self._done("runs")) > self.fanout:
+        if batch not in done:
+            if done and batch < max(done):
+                raise ValueError(f"batch {batch} comes after {max(done)}, which has been added")
+            keyed.groupBy("k1", "k2").agg(F.any_value("text").alias("text")).write.mode("overwrite").parquet(f"{self.path}/texts/{batch:09d}")
+            self._runs.write(batch, anchor_postings(keyed, self.window))
+            self._touch(f"commits/{batch:09d}")
+        before = [n for n in done if n < batch]
+        mine = next(self._runs.read(s) for s in self.runs() if s[0] <= batch <= s[1]).where(F.col("batch") == batch)
+        merged, history = _folded(mine), None
+        if before:
+            old = reduce(DataFrame.unionByName, [self._runs.read(s).where(F.col("batch") < batch).join(mine.select("hash").distinct(), "hash", "left_semi") for s in self.runs() if s[0] < batch])
+            shared = materialize(old.select("hash", "k1", "k2", "times"), "substring-shared")
+            merged = _merge(merged, _folded(shared))
+            history = shared, self.spark.read.parquet(*[f"{self.path}/texts/{n:09d}" for n in before])
+        judged = materialize(_judge(keyed, merged, self.window, history), "substring-judged")
+        if len(self.runs()) > self.fanout:
             self.compact()
         rows = keyed.select("doc_id", F.col("k1").alias("d1"), F.col("k2").alias("d2"))
         return rows.join(judged, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").alias("kept_text"))
 
     def compact(self) -> None:
         """Merge all runs into one, written before the old ones go."""
-        old = self._done("runs")
-        if len(old) < 2:
-            return
-        reduce(DataFrame.unionByName, self.runs()).distinct().repartition("hash").sortWithinPartitions("hash").write.mode("overwrite").parquet(f"{old[-1]}c")
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for p in old:
-            q = jvm.org.apache.hadoop.fs.Path(p)
-            q.getFileSystem(conf).delete(q, True)
+        done = set(self.committed())
+        for s in self._runs.spans():
+            if s[0] == s[1] and s[0] not in done:  # left by a job that died
+                self._runs.drop(self._runs._at(s))
+        self._runs.compact()

@@ -70,6 +70,48 @@ def test_index_is_incremental(spark, tmp_path):
         assert len(index.runs()) <= 2
     index.compact()
     assert len(index.runs()) == 1
+    again = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(spark.createDataFrame([(i, t) for i, t in enumerate(texts[1::4])], "doc_id long, text string"), 1).collect()}
+    assert again == dict(enumerate(brute_substring(texts[1::4], history=texts[0::4])))
+
+
+@pytest.mark.parametrize("lost", ["runs", "texts", "commits"])
+def test_a_batch_that_died_is_added_again(spark, tmp_path, lost):
+    """Between any two of its writes: what the second attempt returns is what the first would have."""
+    import shutil
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(60))) for i in range(4)], "doc_id long, text string")
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index")
+    assert [x["n_removed"] for x in index.add(df, 0).collect()] == [0] * 4
+    shutil.rmtree(tmp_path / "index" / "commits")
+    if lost != "commits":
+        shutil.rmtree(tmp_path / "index" / lost)
+    again = FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=7)
+    assert again.committed() == again.runs() == []
+    assert [x["n_removed"] for x in again.add(df, 0).collect()] == [0] * 4
+    assert [x["n_removed"] for x in again.add(df, 0).collect()] == [0] * 4
+    assert [x["n_removed"] for x in again.add(df, 1).collect()] == [60] * 4
+    with pytest.raises(ValueError, match="comes after"):
+        again.add(df, -1)
+
+
+def test_runs_meet_where_they_are(spark, tmp_path):
+    from lodeworks.llm.substring_dedup import _Runs, _keyed, anchor_postings
+
+    runs = _Runs(spark, f"file://{tmp_path}/runs")
+    texts = corpus(3)
+    for i in range(2):
+        runs.write(i, anchor_postings(_keyed(spark.createDataFrame(list(enumerate(texts[i::2])), "doc_id long, text string"), "doc_id", "text")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = runs.merged()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = {tuple(x) for x in merged.collect()}
+        runs.compact()
+        assert runs.spans() == [(0, 1)] and {tuple(x) for x in runs.merged().collect()} == want and want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_ngrams_and_sliding():
