@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Documents to a shuffle bucket, and steps of virtual time: bounds on what one window partition holds.
-PER_BUCKET, STEPS = 2000, 1 << 12
+#: Documents to a shuffle bucket, steps of virtual time, and rows of a step that is settled row by row: bounds on what one window partition holds.
+PER_BUCKET, STEPS, EDGE = 2000, 1 << 12, 10_000
 
 
 def source_targets(sizes: DataFrame, weights: DataFrame | None = None, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -41,6 +41,29 @@ def source_targets(sizes: DataFrame, weights: DataFrame | None = None, budget: f
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _cut(copies: DataFrame, spend: float) -> tuple[float, str]:
+    """The last (f, shuffled) that the budget pays for, of copies(size, shuffled, f); infinite if it pays for all.
+
+    Virtual time is mapped to 0..1 and dealt to STEPS steps; the one in which the
+    budget ends is dealt to STEPS finer ones, and so on until it holds few rows.
+    """
+    low, scale, before = 0.0, float(STEPS), 0.0
+    while True:
+        step = F.floor((F.col("f") / (F.col("f") + 1) - F.lit(low)) * F.lit(scale))
+        steps = copies.groupBy(step.alias("step")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))  # at most STEPS rows but for rounding
+        through = steps.withColumn("upto", F.sum("s").over(Window.orderBy("step")) + F.lit(before))
+        cut = through.where(F.col("upto") > F.lit(spend)).agg(F.min(F.struct("step", (F.col("upto") - F.col("s")).alias("before"), "n")).alias("c")).first()["c"]  # one row
+        if cut is None:
+            return float("inf"), ""
+        copies, before = copies.where(step == cut["step"]), cut["before"]
+        if cut["n"] <= EDGE or scale >= 2.0**48:  # finer than doubles
+            break
+        low, scale = low + cut["step"] / scale, scale * STEPS
+    last = copies.groupBy("f", "shuffled").agg(F.sum("size").alias("size"))
+    edge = last.withColumn("upto", F.sum("size").over(Window.orderBy("f", "shuffled"))).agg(F.max(F.when(F.col("upto") <= F.lit(spend - before), F.struct("f", "shuffled"))).alias("m"), F.min("f").alias("first")).first()
+    return (edge["m"]["f"], edge["m"]["shuffled"]) if edge["m"] else (edge["first"], "")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, key, source, size, source_size, target, copies, taken, finish.
 
@@ -53,10 +76,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.5,
 
     Running sums are made in two levels, so a source with a third of all rows is
     spread over many tasks: sums of shuffle buckets of about PER_BUCKET documents,
-    then inside each bucket. The cut works the same way, on sums of STEPS steps of
-    virtual time, then inside the one step where the budget ends.
+    then inside each bucket. The cut works the same way: see ``_cut``.
 
-    Edge cases: null texts have size 0 and, like empty ones, are taken with the
+    Edge cases: very long texts count whole; null texts have size 0 and, like empty ones, are taken with the
     words before them; a null source is a source of its own, last in order; ties
     (repeated rows) share a shuffle key and are taken together, which may pass
     the budget by their size; an empty table gives an empty result; further
@@ -89,24 +111,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.5,
     finish = lambda k: F.when(F.col("target") > 0, (F.col("upto") + F.col("source_size") * F.lit(k)) / F.col("target"))
     timed = materialize(timed.select("doc_id", "key", "source", "size", "source_size", "target", "shuffled", F.array(*[finish(k) for k in range(most)]).alias("finishes")), "mix-times")
 
-    copies = timed.select("size", "shuffled", F.explode("finishes").alias("f")).where("f IS NOT NULL").withColumn("step", F.floor(F.col("f") * F.lit(STEPS)))
-    steps = copies.groupBy("step").agg(F.sum("size").alias("s"))
     spend = targets.agg(F.sum("target").alias("spend")).first()["spend"] or 0.0
-    through = steps.withColumn("upto", F.sum("s").over(Window.orderBy("step")))
-    cut = through.where(F.col("upto") > F.lit(spend)).agg(F.min(F.struct("step", (F.col("upto") - F.col("s")).alias("before"))).alias("c")).select("c.step", "c.before").first()  # one row
-    if cut is None or cut["step"] is None:  # the budget takes everything
-        limit_f, limit_k = float("inf"), ""
-    else:
-        room = spend - cut["before"]
-        last = copies.where(F.col("step") == cut["step"]).groupBy("f", "shuffled").agg(F.sum("size").alias("size"))
-        edge = last.withColumn("upto", F.sum("size").over(Window.orderBy("f", "shuffled"))).where(F.col("upto") <= F.lit(room)).agg(F.max(F.struct("f", "shuffled")).alias("m")).first()["m"]
-        limit_f, limit_k = (edge["f"], edge["shuffled"]) if edge else (cut["step"] / STEPS, "")
+    limit_f, limit_k = _cut(timed.select("size", "shuffled", F.explode("finishes").alias("f")).where("f IS NOT NULL AND size > 0"), float(spend))
     taken = F.size(F.filter("finishes", lambda f: f.isNotNull() & ((f < F.lit(limit_f)) | ((f == F.lit(limit_f)) & (F.col("shuffled") <= F.lit(limit_k))))))
     return timed.withColumn("copies", taken.cast("long")).select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("finishes")[0].alias("finish"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: every document as often as its copies say, globally range-sorted by virtual finish time; docs' columns."""
+    """docs as the mix takes them: every document as often as its copies say, globally range-sorted by virtual finish time; docs' columns.
+
+    Edge cases are those of ``mix``; of rows that share id, source and text each comes
+    as often as the mix takes them; columns of docs may have any name but those that
+    begin with __lw_.
+    """
     plan = mix(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     src = options.get("source_col", "source")
