@@ -25,6 +25,8 @@ from .common import crc_fold, materialize, ship
 
 #: Fourier features, folds, and the most labelled rows that are fitted (a fixed sample by hash beyond).
 FEATURES, FOLDS, MAX_ROWS = 256, 4, 200_000
+#: Partitions of the fitted rows: each sends one matrix for each fold (2 MB in all) to the driver.
+PARTS = 8
 _GRID = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 _BINS = 2000  # of calibration, over scores from -0.5 to 1.5
 
@@ -122,8 +124,11 @@ def _sums(features: Features):
     return run
 
 
-def _scored(features: Features, models: np.ndarray, carry: list[str]):
-    """carry columns and raw, the linear score; with several models, that of the row's fold."""
+def _scored(features: Features, models: np.ndarray, carry: list[str], curve: tuple[np.ndarray, np.ndarray] | None = None):
+    """carry columns and raw, the linear score (with several models, that of the row's fold), or the calibrated score.
+
+    Between knots the curve is linear; a thousandth of the raw score keeps order on its flat parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +136,9 @@ def _scored(features: Features, models: np.ndarray, carry: list[str]):
                 part = batch.slice(at, 4000)
                 z = features(_matrix(part.column("x")))
                 raw = z @ models[0] if len(models) == 1 else (z * models[part.column("fold").to_numpy()]).sum(1)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(raw)], [*carry, "raw"])
+                if curve:
+                    raw = np.clip(np.interp(raw, *curve) * 0.999 + np.clip(raw, 0, 1) * 0.001, 0, 1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(raw)], [*carry, "score" if curve else "raw"])
 
     return run
 
@@ -156,8 +163,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     fitted. Statistics, moments and scores cover every document and whole texts;
     the score depends on the text alone.
 
-    Edge cases: null text counts as empty; null and repeated ids are scored like
-    others (a label without id is unused, of several labels of one id the mean
+    Edge cases: null text counts as empty; very long texts are measured whole, one
+    at a time; null and repeated ids are scored like others (a label without id is unused, of several labels of one id the mean
     counts); without any label every score is 0.5; empty tables give an empty
     result; further columns are ignored.
     """
@@ -170,14 +177,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     have = known.count()
     if have > max_rows:
         known = known.where(F.pmod(F.xxhash64("lid", F.lit("fit")), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_rows / have)))
-    train = stats.join(known, F.col("doc_id") == F.col("lid")).dropDuplicates(["doc_id", "key"]).select("doc_id", "x", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
-    train = materialize(train.coalesce(8), "quality-train")
+    known = materialize(known, "quality-labels")  # max_rows rows but for chance: may be broadcast
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    found = stats.join(F.broadcast(known), F.col("doc_id") == F.col("lid")).select("doc_id", "key", "x", "y", fold.alias("fold"))
+    # a bounded number of rows in a few partitions, so as many matrices go to the driver
+    train = materialize(found.dropDuplicates(["doc_id", "key"]).select("x", "y", "fold").repartition(PARTS), "quality-train")
     if not moments["n"] or train.isEmpty():
         return stats.select("doc_id", "key", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
 
     features = Features(*(np.array([moments[f"{k}{i}"] for i in range(n)], float) for k in "ms"))
     d = FEATURES + 1
-    sums = sum(np.frombuffer(r["sums"]).reshape(FOLDS, d + 1, d + 1) for r in train.select("x", "y", "fold").mapInArrow(_sums(features), "sums binary").collect())  # at most 8 matrices
+    sums = sum(np.frombuffer(r["sums"]).reshape(FOLDS, d + 1, d + 1) for r in train.select("x", "y", "fold").mapInArrow(_sums(features), "sums binary").collect())  # at most PARTS matrices for each fold
     whole = sums.sum(0)
     rows = whole[d - 1, d - 1]  # the constant feature's sum of squares
 
@@ -204,16 +214,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     # a step of a bin a hundredth as strong as one row, so no end is certain
     x, y = isotonic(*(np.array(v, float) for v in zip(*[((r["bin"] + 0.5) * 2 / _BINS - 0.5, r["n"], r["ones"]) for r in binned], strict=True)))
     model = solve(whole, penalty)
-    raw = stats.mapInArrow(_scored(features, model[None], ["doc_id", "key"]), "doc_id long, key string, raw double")
-    # between knots the curve is linear; a thousandth of the raw score keeps order on its flat parts
-    curve = F.lit(float(y[0]))
-    for x0, y0, x1, y1 in zip(x[:-1], y[:-1], x[1:], y[1:], strict=True):
-        curve = F.when(F.col("raw") >= F.lit(float(x0)), F.least(F.lit(float(y1)), F.lit(float(y0)) + (F.col("raw") - float(x0)) * float((y1 - y0) / max(x1 - x0, 1e-12)))).otherwise(curve)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), curve * 0.999 + F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)) * 0.001))
-    return raw.select("doc_id", "key", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = stats.mapInArrow(_scored(features, model[None], ["doc_id", "key"], (x, y)), "doc_id long, key string, score double")
+    return scored.select("doc_id", "key", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents the classifier rejects; every column comes back."""
+    """docs without the documents the classifier rejects; every column comes back.
+
+    Edge cases are those of ``quality_scores``: of rows that share an id each is
+    judged by its own text; repeated rows go or stay together; columns of docs may
+    have any name but those that begin with __lw_.
+    """
     rejected = quality_scores(docs, labels, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 0").select(F.col("doc_id").alias("__lw_id"), F.col("key").alias("__lw_key")).distinct()
     return docs.join(rejected, docs[id_col].cast("long").eqNullSafe(rejected["__lw_id"]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == rejected["__lw_key"]), "left_anti")
