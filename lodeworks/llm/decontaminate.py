@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .url_filter import LOWER, UPPER
 
 #: Words to a window; an item of fewer words is one window.
@@ -14,8 +15,8 @@ WINDOW = 10
 #: Separators: everything ASCII that is no letter or digit.
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _NOT_SEP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A broadcast holds at most so many windows (about 200 bytes each).
-BLOCK = 200_000
+#: A broadcast holds at most so many windows, and bytes of their words; which items have them stays behind.
+BLOCK, BLOCK_BYTES = 200_000, 64 << 20
 
 
 def raw_words(text: Column) -> Column:
@@ -65,7 +66,7 @@ def _exploded(df: DataFrame, keep: list[Column | str], words: str, lens: list[in
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the items: hash, len, words (joined by a space), items (ids as text)."""
+    """Distinct windows of the items: hash, blen, bwords (joined by a space), items (ids as text), wid (a number)."""
     items = (
         benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("t"))
         .groupBy("t")
@@ -78,22 +79,24 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
         own = items.where(n >= window if k == window else n == k)
         parts.append(_exploded(own, ["item"], "w", [k]).select("hash", F.col("len").alias("blen"), _fold(F.array_join(F.slice("w", F.col("pos") + 1, k), " ")).alias("bwords"), F.explode_outer("item").alias("item")))
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("hash", "blen", "bwords").agg(F.collect_set("item").alias("items"))
+    return materialize(every.groupBy("hash", "blen", "bwords").agg(F.collect_set("item").alias("items")).withColumn("wid", F.monotonically_increasing_id()), "benchmark-windows")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(hits, base). hits: doc_id, key, pos, len, items, a row for each verified
-    occurrence of a benchmark window in a document; base: doc_id, key, n_words.
-    key is the md5 of the text and tells apart documents that share an id.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, base, known). hits: doc_id, key, pos, len, wid, a row for each verified
+    occurrence of a benchmark window in a document; base: doc_id, key, n_words;
+    known: ``benchmark_windows``. key is the md5 of the text and tells apart
+    documents that share an id.
 
     Document windows meet a broadcast hash table of the benchmark's windows and
-    are verified word by word. A benchmark of more than ``block`` windows is
-    taken in blocks of that size, one scan each, so the broadcast is bounded.
+    are verified word by word. A benchmark of more than ``block`` windows, or
+    BLOCK_BYTES of them, is taken in blocks of that size, one scan each, so the
+    broadcast is bounded.
     """
     known = benchmark_windows(benchmark, window=window)
-    seen = known.groupBy("blen").count().collect()  # at most `window` rows
+    seen = known.groupBy("blen").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bwords") + 64).alias("bytes")).collect()  # at most `window` rows
     lens = sorted((r["blen"] for r in seen), reverse=True) or [window]
-    blocks = max(1, -(-sum(r["count"] for r in seen) // block))
+    blocks = max(1, -(-sum(r["n"] for r in seen) // block), -(-sum(r["bytes"] for r in seen) // BLOCK_BYTES))
     text = F.col(text_col)
     src = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("key"), raw_words(text).alias("w"))
     windows = _exploded(src, ["doc_id", "key"], "w", lens)
@@ -101,20 +104,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     exact = F.coalesce(_fold(F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")) == F.col("bwords"), F.lit(False))
     found = []
     for b in range(blocks):
-        part = F.broadcast(known.where(F.pmod("hash", F.lit(blocks)) == b).withColumnRenamed("hash", "bh"))
-        found.append(windows.join(part, (F.col("hash") == F.col("bh")) & (F.col("len") == F.col("blen")) & exact).select("doc_id", "key", "pos", "len", "items"))
-    return reduce(DataFrame.unionByName, found), src.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
+        part = F.broadcast(known.where(F.pmod("hash", F.lit(blocks)) == b).select(F.col("hash").alias("bh"), "blen", "bwords", "wid"))
+        found.append(windows.join(part, (F.col("hash") == F.col("bh")) & (F.col("len") == F.col("blen")) & exact).select("doc_id", "key", "pos", "len", "wid"))
+    return reduce(DataFrame.unionByName, found), src.select("doc_id", "key", F.size("w").cast("long").alias("n_words")), known
 
 
-def _per_doc(hits: DataFrame) -> DataFrame:
-    """A row for each hit (doc_id, key): the covered word positions and the items."""
+def _per_doc(hits: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A row for each hit (doc_id, key): hid, hkey, the covered word positions and, with known, the items."""
     spans = F.collect_set(F.struct("pos", "len"))
-    return hits.groupBy("doc_id", "key").agg(spans.alias("spans"), F.collect_set("items").alias("sets")).select(
-        F.col("doc_id").alias("hid"),
-        F.col("key").alias("hkey"),
-        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))).alias("covered"),
-        F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"),
-    )
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))
+    per = hits.groupBy("doc_id", "key").agg(spans.alias("spans"), F.collect_set("wid").alias("wids")).select(F.col("doc_id").alias("hid"), F.col("key").alias("hkey"), covered.alias("covered"), "wids")
+    if known is None:
+        return per.drop("wids")
+    names = known.select(F.col("wid").alias("w"), "items")
+    named = per.select("hid", "hkey", F.explode("wids").alias("wid")).join(names, F.col("wid") == F.col("w")).groupBy(F.col("hid").alias("nid"), F.col("hkey").alias("nkey")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return per.join(named, F.col("hid").eqNullSafe(F.col("nid")) & (F.col("hkey") == F.col("nkey")), "left").select("hid", "hkey", "covered", "items")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -122,13 +126,14 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
 
     A word inside any verified occurrence of a benchmark window is hit.
 
-    Edge cases: null and empty texts have no words; repeated rows each get the
+    Edge cases: null and empty texts have no words; very long texts are hashed
+    whole, in one row; repeated rows each get the
     same result; null ids work like others; an item without words has no window,
     an item with a null id hits words but isn't listed; empty tables give no
     rows (documents) or no hits (benchmark); further columns are ignored.
     """
-    hits, base = contamination(docs, benchmark, id_col, text_col, window, block)
-    per = _per_doc(hits)
+    hits, base, known = contamination(docs, benchmark, id_col, text_col, window, block)
+    per = _per_doc(materialize(hits, "benchmark-hits"), known)
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce(F.size("covered"), F.lit(0)).cast("long")
     n_hit = F.when(F.col("covered").isNull(), F.lit(0).cast("long")).otherwise(n_hit)
@@ -148,8 +153,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     ``mode='documents'`` drops documents with any hit. ``mode='spans'`` keeps all
     documents and cuts each hit word with the separators before it out of the
     text; the rest of the text is unchanged.
+
+    Edge cases are those of ``decontamination_report``; null texts stay null;
+    repeated rows go or stay together; columns of docs may have any name but hid,
+    hkey and covered.
     """
-    hits, _ = contamination(docs, benchmark, id_col, text_col, window)
+    hits, _, _ = contamination(docs, benchmark, id_col, text_col, window)
     per = _per_doc(hits)
     key = F.md5(F.coalesce(docs[text_col], F.lit("")))
     same = docs[id_col].eqNullSafe(per["hid"]) & (key == per["hkey"])

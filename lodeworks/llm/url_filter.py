@@ -37,7 +37,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     Edge cases: null urls have empty host and path and fit no rule; null ids and
     repeated rows pass through; rules with a null or empty host, or a null
-    verdict, fit nothing; a null rule path is the empty path.
+    verdict, fit nothing; a null rule path is the empty path; very long urls are
+    expanded whole; an empty table gives an empty result, no rules give every page
+    the default; further columns are ignored.
     """
     host, path = url_parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -65,7 +67,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .select("host", "path", F.sha2(F.concat("sh", F.lit("\x00"), F.expr("substring(path, 1, n)")), 256).alias("d"))
         .withColumn("k", F.substring("d", 1, 8))
     )
-    hits = tries.join(known, (F.col("k") == F.col("rk")) & (F.col("d") == F.col("rd")))
+    # inside coalesce() the full digest is no join key: it is compared where the short ones are equal
+    hits = tries.join(known, (F.col("k") == F.col("rk")) & F.coalesce(F.col("d") == F.col("rd"), F.lit(False)))
     best = (
         hits.groupBy("host", "path")
         .agg(F.max(F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("hn"), "rv", "rh", "rp")).alias("b"))

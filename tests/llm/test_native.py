@@ -137,7 +137,9 @@ def brute_contamination(rows, items, n=10):
 
 
 @pytest.mark.parametrize("block", [200_000, 3])
-def test_decontamination(spark, block):
+def test_decontamination(spark, block, monkeypatch):
+    if block == 3:
+        monkeypatch.setattr("lodeworks.llm.decontaminate.BLOCK_BYTES", 400)
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, hash string")
     got = decontamination_report(docs(spark, TEXTS), bench, block=block)
     assert rows_of(got.columns, got.collect()) == rows_of(got.columns, brute_contamination(TEXTS, ITEMS))
@@ -177,6 +179,35 @@ def test_targets_are_a_water_level(spark):
     assert got == pytest.approx(target)
 
 
+@pytest.mark.parametrize("weights", [None, [("big", 1e9), ("s0", 1.0), ("s1", 1.0)], [("big", 1.0), ("s0", 1e-9)]])
+def test_the_cut_is_that_of_a_full_sort(spark, monkeypatch, weights):
+    """With steps that must be dealt again, equal finish times and many texts without words."""
+    from lodeworks.llm import mixing
+
+    monkeypatch.setattr(mixing, "STEPS", 4)
+    monkeypatch.setattr(mixing, "EDGE", 2)
+    rows = [(i, "w " * (i % 7 if i % 3 else 0), ["big", "s0", "s1", None][i % 4 if i < 40 else 0]) for i in range(300)]
+    w = weights and spark.createDataFrame(weights, "source string, weight double")
+    d = docs(spark, rows)
+    plan = mix(d, w).collect()
+    text = dict((i, t) for i, t, _ in rows)
+    shuffled = lambda r: hashlib.md5(f"mix|{r['doc_id']}|{hashlib.md5(text[r['doc_id']].encode()).hexdigest()}".encode()).hexdigest()
+    copies = []
+    for s in {r["source"] for r in plan}:
+        upto = 0
+        for r in sorted((r for r in plan if r["source"] == s), key=shuffled):
+            upto += r["size"]
+            if r["target"] > 0 and r["size"]:
+                copies += [((upto + k * r["source_size"]) / r["target"], shuffled(r), r) for k in range(2)]
+    spend, want = sum({r["source"]: r["target"] for r in plan}.values()), {}
+    for _, _, r in sorted(copies, key=lambda c: c[:2]):
+        spend -= r["size"]
+        if spend < 0:
+            break
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["size"]
+    assert {r["doc_id"]: r["taken"] for r in plan if r["taken"]} == want
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 13), "big" if i % 3 else f"s{i % 5}") for i in range(3000)] + [(None, None, None), (None, "x y", None), (5, "w " * 5, "big"), (9000, "w " * 4000, "s1")]
     d = docs(spark, rows)
