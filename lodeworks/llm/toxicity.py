@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, materialize, ship
 
-#: Labelled documents that are mined and fitted (a fixed sample by hash beyond), and stems that are kept.
+#: Labelled documents that the classifier is fitted on (a fixed sample by hash beyond), and stems that are kept.
 MAX_ROWS, MAX_STEMS = 20_000, 300
+#: So many labels (of 12 bytes) may be broadcast; beyond, the join shuffles.
+BROADCAST_LABELS = 1_000_000
 #: Lengths of stems, and the most partial counts a worker holds.
 _STEM = range(3, 9)
 _HELD = 200_000
@@ -92,6 +94,13 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _once(fit: DataFrame) -> DataFrame:
+    """One row (text, label) of each text and label: of documents with the same key the one with the smallest id."""
+    first = fit.groupBy(F.col("key").alias("fkey"), F.col("label").alias("flabel")).agg(F.min("doc_id").alias("fid"))
+    rows = fit.join(first, (F.col("doc_id") == F.col("fid")) & (F.col("key") == F.col("fkey")) & (F.col("label") == F.col("flabel")))
+    return materialize(rows.dropDuplicates(["doc_id", "key", "label"]).select("text", "label"), "toxicity-fit")
+
+
 def mine_stems(fit: DataFrame, most: int = MAX_STEMS) -> dict[str, float]:
     """Stems of toxic documents: stem -> share of toxic ones among the labelled documents that use it.
 
@@ -259,12 +268,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     """One row per document: doc_id, key, held_out, score, predicted.
 
     Voter combinations are counted over all documents. Labels are used only of
-    documents whose crc32 of the id as text, modulo 3, is not 1: to mine stems,
-    and as the votes of an annotator whose accuracy is estimated. Mining and the
-    classifier take at most ``max_rows`` labelled documents, a fixed sample by
-    hash.
+    documents whose crc32 of the id as text, modulo 3, is not 1: to mine stems
+    (from all of them), and as the votes of an annotator whose accuracy is
+    estimated. The classifier is fitted on at most ``max_rows`` labelled
+    documents, a fixed sample by hash.
 
-    Edge cases: null text counts as empty; texts in which no voter fires get one
+    Edge cases: null text counts as empty; very long texts are read whole, one at
+    a time; texts in which no voter fires get one
     low score; null and repeated ids are scored like others, a label without id
     is unused, of several labels of one id the mean counts; without labels the
     model is fitted on the voters alone; empty tables give an empty result;
@@ -283,8 +293,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     have = known.count()
     part = F.pmod(F.xxhash64("lid", F.lit("fit")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(have, 1))))
     chosen = materialize(known.where(part), "toxicity-labels")  # max_rows rows but for chance: may be broadcast
-    fit = src.join(F.broadcast(chosen), F.col("doc_id") == F.col("lid")).groupBy("key", "label").agg(F.any_value("text").alias("text"))
-    stems = mine_stems(materialize(fit, "toxicity-fit"))
+    all_known = materialize(known, "toxicity-labels")
+    fit = src.join(F.broadcast(all_known) if have <= BROADCAST_LABELS else all_known, F.col("doc_id") == F.col("lid"))
+    stems = mine_stems(_once(fit))
 
     seen = materialize(src.mapInArrow(_measure(stems), "doc_id long, key string, mask int, terms array<string>, counts array<float>"), "toxicity-votes")
     votes = seen.join(known, F.col("doc_id") == F.col("lid"), "left").groupBy("mask", F.coalesce("label", F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 2^16 rows
@@ -312,6 +323,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those predicted toxic; every column comes back."""
+    """docs without those predicted toxic; every column comes back.
+
+    Edge cases are those of ``toxicity_scores``: of rows that share an id each is
+    judged by its own text; repeated rows go or stay together; columns of docs may
+    have any name but those that begin with __lw_.
+    """
     bad = toxicity_scores(docs, labels, id_col=id_col, text_col=text_col, threshold=threshold).where("predicted = 1").select(F.col("doc_id").alias("__lw_id"), F.col("key").alias("__lw_key")).distinct()
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__lw_id"]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == bad["__lw_key"]), "left_anti")
