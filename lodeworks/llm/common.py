@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Runs of ASCII white space, and of anything else, as Java and RE2 both read them.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,19 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by spark.checkpoint.dir.
-
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/lodeworks/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))

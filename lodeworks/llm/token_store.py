@@ -43,6 +43,8 @@ from .common import materialize, new_path, ship
 
 MAGIC = 0x4C57535354313031
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 32 << 20
+#: Bytes of tokens that a task reads back, in whole files.
+READ_BYTES = 128 << 20
 _FOOTER = struct.Struct("<QQQQQQQQ")  # index at, index bytes, bloom at, bloom bytes, documents, tokens, bytes to a token, magic
 _INDEX = struct.Struct("<QIIQ")  # offset, bytes, entries, tokens before
 _BITS, _HASHES = 10, 7
@@ -333,7 +335,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
     ``vocabulary`` is the path of a tokenizers JSON file on every executor.
 
     Edge cases: null text is empty, and like the empty one has just the end id;
-    null ids sort first; repeated ids are kept, in the order of their texts'
+    null ids sort first; very long texts are encoded whole and may fill a block of their own; repeated ids are kept, in the order of their texts'
     hashes; a table without rows has an empty manifest. Rows that share an id
     are dealt to shards by their text's hash as well, so one id that fills the
     table doesn't end in one task (exact copies of one text do).
@@ -370,16 +372,23 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before it. The running sum is over the
-    manifest, one row for each file of some 32 MB.
+    manifest, one row for each file of some 32 MB. Files go to tasks in ranges of
+    some READ_BYTES, to a few for each core where there is less.
+
+    Edge cases: an empty manifest gives an empty result; a document with a null
+    id, and each of several with the same one, has its own row.
     """
-    ship(manifest.sparkSession)
+    spark = manifest.sparkSession
+    ship(spark)
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", before.alias("before"))
-    return files.repartition(max(1, manifest.count()), "file").mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    have = manifest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()  # one row
+    tasks = max(1, min(have["n"], max(2 * spark.sparkContext.defaultParallelism, 4 * have["t"] // READ_BYTES)))
+    return files.repartitionByRange(tasks, "before", "file").mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarray]:
-    """Token ids of a document, by binary search in the shards whose key range holds it."""
+    """Token ids of a document, by binary search in the shards whose key range holds it; none for an id that no shard has, several for one that occurs several times."""
     at = F.lit(doc_id).cast("long")
     holds = F.col("low").isNull() | (F.col("low") <= at) if doc_id is not None else F.col("low").isNull()
     if doc_id is not None:
@@ -393,7 +402,7 @@ def lookup(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarra
 
 
 def token_output(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """Write docs as token shards, then read them back: see ``read_tokens``."""
+    """Write docs as token shards, then read them back: see ``write_tokens`` and ``read_tokens``, also for edge cases."""
     manifest, path = write_tokens(docs, vocabulary, **options)
     return read_tokens(manifest, path)
 

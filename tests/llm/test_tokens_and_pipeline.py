@@ -129,6 +129,24 @@ def test_pipeline_stages(spark, whole):
     assert all(r["t"] == len(whole(texts[r["doc_id"]] or "")) + 1 for r in got)
 
 
+def test_pipeline_takes_odd_rows(spark, vocabulary, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, columns with the operators' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, k1 string, class_id long, hash long, tid long, start long"
+    some = [r["text"] for r in common.table(spark, SF, "documents").limit(30).collect()]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(some)]
+    rows += [(100, None, None, None), (None, some[0], None, "s1"), (None, None, None, None), (101, "", "en", "s0"), (102, " ".join(f"{t} {i}" for i in range(200) for t in some[:3]), "en", "s2"), rows[3], rows[3]]
+    df = spark.createDataFrame([(*r, 1, "k", "a", 2, 3, 4, 5) for r in rows], schema)
+    for docs in (df, df.limit(0)):
+        before = docs
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = common.materialize(stage(spark, before, SF), "test-odd")
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+                assert out.select("doc_id", "text").subtract(before.select("doc_id", "text")).count() == 0
+            before = out
+        assert (before.count() > 0) == (docs is df)
+
+
 def test_pipeline_runs_as_a_query(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).count() > 0
@@ -136,6 +154,12 @@ def test_pipeline_runs_as_a_query(spark):
     assert common.written() == []
 
 
+def test_two_pipelines_in_one_process(spark):
+    """Neither deletes what the other one still reads."""
+    a, b = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert a.count() == b.count() > 0
+
+
 def test_queries_read_special_tokens_as_the_library_does(spark, vocabulary, tmp_path):
     from tokenizers import Tokenizer
 
