@@ -17,48 +17,29 @@ from lodeworks.llm.near_dedup import drop_near_duplicates
 from lodeworks.llm.quality import keep_quality
 from lodeworks.llm.token_store import token_output, vocabulary_path
 
-#: Intermediate tables of the stage before, whose result is on disk when the next stage starts.
-_before: list = []
 
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _before)
-        known = common.written()
-        result = work(spark, docs, sf_dir)
-        _before[:] = [x for x in common.written() if x not in known]
-        return result
-
-    return run_stage
-
-
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Edge cases: ``quality_scores``, ``keep_quality``."""
     return keep_quality(docs, common.table(spark, sf_dir, "labels"))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
+    """One document of each class of near duplicates stays, the one with the smallest id. Edge cases: ``near_dedup``, ``drop_near_duplicates``."""
     return drop_near_duplicates(docs)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Edge cases: ``decontamination_report``, ``decontaminate``."""
     return decontaminate(docs, common.table(spark, sf_dir, "benchmark"), mode="documents")
 
 
-@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in its order."""
+    """Documents as often as the mix takes them, in its order. Edge cases: ``mix``, ``mixed_documents``."""
     return mixed_documents(docs)
 
 
-@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and a row for each document read back from them."""
+    """Token shards, and a row for each document read back from them. Edge cases: ``write_tokens``, ``read_tokens``."""
     return token_output(docs, vocabulary_path(spark), special=True)
 
 
@@ -76,13 +57,14 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs, last = common.table(spark, sf_dir, "documents"), []
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
+        known = common.written()
         result = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return result
-        known = common.written()
         docs = common.materialize(result, f"stage-{name}")
-        common.release(spark, last)
-        last = [x for x in common.written() if x not in known]
+        made = [x for x in common.written() if x not in known]
+        common.release(spark, before + made[:-1])  # what the stage before returned, and what this one worked with
+        before = made[-1:]
     return docs
