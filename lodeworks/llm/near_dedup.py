@@ -20,8 +20,11 @@ Candidates are settled in two steps, neither of which drops any:
 2. The texts of all buckets that still hold several classes are joined once by
    prefix: with shingles ordered from rare to frequent, two texts at 0.8 share
    one among the first fifth (by number or by weight) of each. Of two texts that
-   meet at a shingle, what is left of both from there on bounds their similarity;
-   only pairs of different classes whose bound reaches 0.8 are verified. Texts
+   meet at a shingle, what is left of both from there on bounds their similarity,
+   and so does the number of bits in which their parity maps differ (bit i says
+   whether an odd number of a text's shingles hash to i): texts differ in as many
+   shingles at least. Only pairs of different classes whose bounds reach 0.8 are
+   verified. Texts
    whose own shingles make up a fifth meet nobody at all, so a template that
    thousands of texts fill differently costs their number, not its square.
 """
@@ -45,7 +48,9 @@ BANDS, ROWS = 20, 4
 #: So many candidate keys (three longs each) may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 #: Texts of a prefix group in one block, and members that meet a leader in one task.
-GROUP_BLOCK, BLOCK = 1024, 256
+GROUP_BLOCK, BLOCK = 256, 128
+#: Longs of a text's parity map.
+MAP = 8
 _EPS = 1e-9
 
 
@@ -223,6 +228,19 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(tid[i:j][rows]), pa.array(times.astype(np.int32)), pa.array(n[rows].astype(np.int32)), pa.array(total[rows].astype(np.int32))], ["sh", "tid", "times", "n", "total"])
 
 
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mtid and the parity map of the distinct shingles of each text."""
+    for batch in batches:
+        tid = batch.column("tid").to_numpy()
+        flat, off = list_column(batch, "wh")
+        for i, j in chunks(off):
+            rows, got, _ = weighted(*shingle_hashes(flat[off[i] : off[j]], off[i : j + 1] - off[i]))
+            bit = (mix(got) % np.uint64(64 * MAP)).astype(np.int64)
+            odd = np.bincount(rows * 64 * MAP + bit, minlength=(j - i) * 64 * MAP).astype(np.uint8) & 1
+            bits = np.packbits(odd).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tid[i:j]), to_lists(bits, np.full(j - i, MAP), pa.int64())], ["mtid", "map"])
+
+
 def _prefixes(least: float):
     """Per text with its shared shingles in order: those in its prefix, with what is left of the text from there on.
 
@@ -233,7 +251,7 @@ def _prefixes(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tid, n, total = (batch.column(c).to_numpy() for c in ("tid", "n", "total"))
-            (sh, off), (times, _) = list_column(batch, "sh"), list_column(batch, "times", np.int32)
+            (sh, off), (times, _), (maps, _) = list_column(batch, "sh"), list_column(batch, "times", np.int32), list_column(batch, "map", np.int64)
             size = np.diff(off)
             row = np.repeat(np.arange(len(tid)), size)
             rem = np.repeat(off[1:], size) - np.arange(len(sh))
@@ -241,7 +259,7 @@ def _prefixes(least: float):
             mass = (upto[np.repeat(off[1:], size)] - upto[:-1]) / total[row]
             on = (rem >= least * n[row] - _EPS) | (mass >= least - _EPS)
             row = row[on]
-            yield pa.RecordBatch.from_arrays([pa.array(sh[on].view(np.int64)), pa.array(tid[row]), pa.array(n[row]), pa.array(rem[on].astype(np.int32)), pa.array(mass[on]), pa.array(total[row] > n[row])], ["sh", "tid", "n", "rem", "mass", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(sh[on].view(np.int64)), pa.array(tid[row]), pa.array(n[row]), pa.array(rem[on].astype(np.int32)), pa.array(mass[on]), pa.array(total[row] > n[row]), to_lists(maps.reshape(-1, MAP)[row].ravel(), np.full(len(row), MAP), pa.int64())], ["sh", "tid", "n", "rem", "mass", "heavy", "map"])
 
     return run
 
@@ -250,20 +268,25 @@ def _met(least: float, one: bool):
     """Rows sorted by (sh, p, q): pairs of different classes whose bound reaches least. one: of any two
     classes that have several texts in the group, the pair of the highest bound only."""
 
-    def group(tid, label, side, n, rem, mass, heavy) -> tuple[np.ndarray, ...]:
+    def group(tid, label, side, n, rem, mass, heavy, maps) -> tuple[np.ndarray, ...]:
         x, y = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        c = np.minimum(rem[x][:, None], rem[y])
-        bound = c / (n[x][:, None] + n[y] - c)
-        if heavy.any():  # mass M and N left: probability Jaccard is at most 1 / (1/M + 1/N - 1)
-            weighed = 1 / (1 / mass[x][:, None] + 1 / mass[y] - 1)
-            bound = np.where(heavy[x][:, None] | heavy[y], np.maximum(bound, weighed), bound)
-        ok = (bound >= least - 1e-6) & (label[x][:, None] != label[y])
+        apart = label[x][:, None] != label[y]
         if one:
             _, of, size = np.unique(label, return_inverse=True, return_counts=True)
             several = size[of] > 1
-            ok &= several[x][:, None] & several[y]
-        i, j = np.nonzero(ok)
-        i, j, bound = x[i], y[j], bound[i, j]
+            apart &= several[x][:, None] & several[y]
+        c = np.minimum(rem[x][:, None], rem[y])
+        i, j = np.nonzero(apart & (c >= (least - 1e-6) * (n[x][:, None] + n[y] - c)))
+        i, j = x[i], y[j]
+        # n + n' - 2 * common shingles differ, and so many bits at most
+        c = np.minimum(np.minimum(rem[i], rem[j]), (n[i] + n[j] - np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)) // 2)
+        bound = c / (n[i] + n[j] - c)
+        on = bound >= least - 1e-6
+        i, j, bound = i[on], j[on], bound[on]
+        if heavy.any():  # mass M and N left: probability Jaccard is at most 1 / (1/M + 1/N - 1)
+            weighed = 1 / (1 / mass[x][:, None] + 1 / mass[y] - 1)
+            k, m = np.nonzero(apart & (heavy[x][:, None] | heavy[y]) & (weighed >= least - 1e-6))
+            i, j, bound = np.r_[i, x[k]], np.r_[j, y[m]], np.r_[bound, weighed[k, m]]
         flip = tid[i] > tid[j]
         i, j = np.where(flip, j, i), np.where(flip, i, j)
         low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
@@ -292,6 +315,7 @@ def _met(least: float, one: bool):
 
         for batch in batches:
             sh, p, q, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+            cols.append(list_column(batch, "map")[0].reshape(-1, MAP))
             cut = np.flatnonzero((np.diff(sh) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(sh)]):
                 if s == e:
@@ -311,20 +335,21 @@ def _met(least: float, one: bool):
 
 
 def _prefix_rows(members: DataFrame, labels: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """sh, tid, n, rem, mass, heavy: the prefixes of the texts in buckets that hold several classes."""
+    """sh, tid, n, rem, mass, heavy, map: the prefixes of the texts in buckets that hold several classes."""
     placed = materialize(_labelled(members.select("h", "tid"), labels), "near-placed")
     per = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("m > 2 AND low <> high").select(F.col("h").alias("oh"))
     open_ = placed.join(per, F.col("h") == F.col("oh")).select(F.col("tid").alias("t")).distinct()
-    rows = bodies.join(open_, F.col("tid") == F.col("t")).select("tid", word_hashes(F.col("text")).alias("wh"))
+    rows = materialize(bodies.join(open_, F.col("tid") == F.col("t")).select("tid", "text"), "near-open").select("tid", word_hashes(F.col("text")).alias("wh"))
     shingles = materialize(rows.mapInArrow(_shingles, "sh long, tid long, times int, n int, total int"), "near-shingles")
     often = shingles.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("sh").alias("fsh"), "df")
     ordered = (
         shingles.join(often, F.col("sh") == F.col("fsh"))
         .groupBy("tid")
         .agg(F.any_value("n").alias("n"), F.any_value("total").alias("total"), F.array_sort(F.collect_list(F.struct("df", "sh", "times"))).alias("s"))
-        .select("tid", "n", "total", F.col("s.sh").alias("sh"), F.col("s.times").alias("times"))
+        .join(rows.mapInArrow(_maps, "mtid long, map array<long>"), F.col("tid") == F.col("mtid"))
+        .select("tid", "n", "total", F.col("s.sh").alias("sh"), F.col("s.times").alias("times"), "map")
     )
-    return materialize(ordered.mapInArrow(_prefixes(least), "sh long, tid long, n int, rem int, mass double, heavy boolean"), "near-prefixes")
+    return materialize(ordered.mapInArrow(_prefixes(least), "sh long, tid long, n int, rem int, mass double, heavy boolean, map array<long>"), "near-prefixes")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -335,13 +360,13 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _candidates(prefixes: DataFrame, labels: DataFrame, least: float, one: bool) -> DataFrame:
     """Pairs (a, b, block) of texts of different classes that may be similar; with one, a pair at most for any two classes.
 
-    In a group of n blocks every row (of some 50 bytes) goes to n pairs of blocks.
+    In a group of n blocks every row (of some 100 bytes) goes to n pairs of blocks.
     """
     rows = _labelled(prefixes, labels)
     per = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("m > 1 AND low <> high").select(F.col("sh").alias("gsh"), F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(per, F.col("sh") == F.col("gsh")).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("side", "o")).withColumn("q", F.greatest("side", "o"))
-    sides = each.select("sh", "p", "q", "tid", "label", "side", "n", "rem", "mass", "heavy").repartition("sh", "p", "q").sortWithinPartitions("sh", "p", "q")
+    sides = each.select("sh", "p", "q", "tid", "label", "side", "n", "rem", "mass", "heavy", "map").repartition("sh", "p", "q").sortWithinPartitions("sh", "p", "q")
     met = sides.mapInArrow(_met(least, one), "a long, b long, low long, high long, bound double")
     if one:
         pairs = met.groupBy("low", "high").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
@@ -430,7 +455,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one, is ``least`` or more. Classes are the connected components; class_id is
     the smallest doc_id in the class, and that document is kept.
 
-    Edge cases: null text counts as empty; empty texts form one class; a null id
+    Texts are told apart by two 64-bit hashes of the whole text.
+
+    Edge cases: null text counts as empty; empty texts form one class; very long
+    texts are hashed in whole, one task holds one or two of them at a time; a null id
     is never the smallest unless the class has no other; rows that repeat an id
     and its text are all marked kept if the first is (see ``drop_near_duplicates``
     for exactly one); an empty table gives an empty result; further columns are
@@ -442,7 +470,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: all its columns, of the row with the smallest id."""
+    """docs with one row of each class: all its columns, of the row with the smallest id.
+
+    Edge cases are those of ``near_dedup``; of rows that repeat that id and its
+    text one stays; columns of docs may have any name but those that begin with
+    __lw_.
+    """
     texts, keyed = near_duplicate_classes(docs, id_col, text_col, least)
     heads = texts.where("head").select("rep", "k1", "k2")
     times = keyed.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times"))
