@@ -36,6 +36,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n > 0, dot(a, b) / n), F.lit(0.0))
 
 
+def _fused(a: Column, b: Column) -> Column:
+    """Sum of products in single precision, each added without rounding before: products of floats are exact in double."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("float"), lambda acc, x: (acc + x).cast("float"))
+
+
+def cosine_single(a: Column, b: Column) -> Column:
+    """``cosine`` of float vectors in single precision, step by step as SQL's list_cosine_similarity of FLOAT[], widened to double.
+
+    Where the product of the squared lengths is no normal float, it is computed in double.
+    """
+    parts = F.array(F.struct(_fused(a, b).alias("dot"), (_fused(a, a) * _fused(b, b)).alias("square")))
+    ratio = lambda x: (x["dot"] / F.sqrt(x["square"]).cast("float")).cast("float").cast("double")
+    found = F.transform(parts, lambda x: F.when((x["square"] >= 2.0**-126) & (x["square"] < float("inf")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(x)))))[0]
+    return F.coalesce(found, cosine(a, b))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import vectors
 
 
 def scored(df: DataFrame, query: list[float], vector_col: str = "embedding") -> DataFrame:
-    """Adds similarity (cosine) and distance (1 - similarity); a vector of another dimension is an error."""
+    """Adds similarity (cosine) and distance (1 - similarity); a vector of another dimension is an error.
+
+    Float vectors are scored in single precision, as SQL scores FLOAT[], all others in double.
+    """
     v = F.col(vector_col)
     checked = F.when(v.isNull() | (F.size(v) == len(query)), v).otherwise(F.raise_error(F.concat(F.lit(f"expected {len(query)} dimensions, got "), F.size(v))))
-    return df.withColumn("similarity", vectors.cosine(checked, vectors.literal(query))).withColumn("distance", 1 - F.col("similarity"))
+    kind = df.schema[vector_col].dataType
+    cosine = vectors.cosine_single if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else vectors.cosine
+    return df.withColumn("similarity", cosine(checked, vectors.literal(query))).withColumn("distance", 1 - F.col("similarity"))
 
 
 def top_k(df: DataFrame, query: list[float], k: int = 10, id_col: str = "id", vector_col: str = "embedding", where: Column | None = None, min_similarity: float | None = None, most: int | None = None) -> DataFrame:

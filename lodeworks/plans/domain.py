@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -269,32 +269,38 @@ def latest_event_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # vectors
 
+
+def _rounded(score: str) -> Column:
+    """Five digits of a score in single precision, rounded as SQL rounds a FLOAT: scaled in double."""
+    return (F.round(F.col(score).cast("float").cast("double") * 1e5) / 1e5).alias(score)
+
+
 _SIM = "list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0))"
 
 
 @query(f"SELECT vec_id, round({_SIM}, 5) AS similarity FROM embeddings ORDER BY {_SIM} DESC, vec_id LIMIT 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return search.top_k(v, _query_vector(v), 10, "vec_id", most=50).select("vec_id", F.round("similarity", 5).alias("similarity"))
+    return search.top_k(v, _query_vector(v), 10, "vec_id", most=50).select("vec_id", _rounded("similarity"))
 
 
 @query(f"SELECT vec_id, round(1 - {_SIM}, 5) AS distance FROM embeddings WHERE {_SIM} >= 0.2 ORDER BY {_SIM} DESC, vec_id LIMIT 50")
 def vector_min_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return search.top_k(v, _query_vector(v), 50, "vec_id", min_similarity=0.2).select("vec_id", F.round("distance", 5).alias("distance"))
+    return search.top_k(v, _query_vector(v), 50, "vec_id", min_similarity=0.2).select("vec_id", _rounded("distance"))
 
 
 @query(f"SELECT vec_id, label, round({_SIM}, 5) AS similarity FROM embeddings WHERE label = 3 ORDER BY {_SIM} DESC, vec_id LIMIT 10")
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return search.top_k(v, _query_vector(v), 10, "vec_id", where=F.col("label") == 3).select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
+    return search.top_k(v, _query_vector(v), 10, "vec_id", where=F.col("label") == 3).select("vec_id", "label", _rounded("similarity"))
 
 
 @query(f"WITH ids AS (SELECT doc_id AS vec_id FROM documents), s AS (SELECT vec_id, {_SIM} AS s FROM embeddings) SELECT ids.vec_id, round(coalesce(s, 0), 5) AS similarity FROM ids LEFT JOIN s ON ids.vec_id = s.vec_id")
 def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
-    return search.rerank(ids, v, _query_vector(v), "vec_id").select("vec_id", F.round("similarity", 5).alias("similarity"))
+    return search.rerank(ids, v, _query_vector(v), "vec_id").select("vec_id", _rounded("similarity"))
 
 
 @query(f"WITH t AS (SELECT vec_id, {_SIM} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT t.vec_id, coalesce('quality ' || l.quality, 'doc ' || t.vec_id) AS symbol_name FROM t LEFT JOIN labels l ON t.vec_id = l.doc_id")

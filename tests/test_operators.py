@@ -72,6 +72,16 @@ def test_clusters(spark):
     assert arch.clusters(alone, none, 0.0).select("cluster").distinct().count() == 3
 
 
+def test_similarity_equals_duckdb(spark, sf_dir, duck):
+    """To the last bit of a FLOAT for every vector, so that rounding and ties agree too; extreme lengths fall back to double."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = {r["vec_id"]: r["similarity"] for r in search.scored(v, v.where("vec_id = 0").first()["embedding"]).collect()}
+    want = dict(duck.execute("SELECT vec_id, list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)) FROM embeddings").fetchall())
+    assert got == want
+    odd = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e-30, 0.0]), (2, [0.0, 0.0]), (3, None)], "id int, embedding array<float>")
+    assert [round(r["similarity"], 6) for r in search.scored(odd, [1.0, 1.0]).orderBy("id").collect()] == [0.707107, 0.707107, 0.0, 0.0]
+
+
 def test_vectors(spark):
     e0 = [1.0] + [0.0] * 7
     df = spark.createDataFrame([("same", e0), ("opposite", [-x for x in e0]), ("other", [0.0, 1.0] + [0.0] * 6), ("none", None)], "id string, embedding array<float>")
