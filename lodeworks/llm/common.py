@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give back to the system what this process has freed, but Arrow and the C library still hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with ``trim`` at its end: workers that wait for other tasks count towards their executor's memory."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
+
+
 def written() -> list[tuple[SparkSession, str]]:
     """The intermediate tables of this process that still exist, oldest first."""
     return list(_written)
@@ -56,7 +79,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "WORD", "crc_fold", "materialize", "new_path", "release", "shared_dir", "ship", "small", "table", "written"]
+__all__ = ["SPACE", "WORD", "crc_fold", "lean", "materialize", "new_path", "release", "shared_dir", "ship", "small", "table", "trim", "written"]
 
 
 def crc_fold(doc_id: Column) -> Column:

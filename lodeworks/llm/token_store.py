@@ -34,17 +34,20 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ship
+from .common import lean, materialize, new_path, ship
 
 MAGIC = 0x4C57535354313031
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 32 << 20
 #: Bytes of tokens that a task reads back, in whole files.
 READ_BYTES = 128 << 20
+#: Bytes of text that are encoded at a time, in whole texts.
+PART_BYTES = 4 << 20
 _FOOTER = struct.Struct("<QQQQQQQQ")  # index at, index bytes, bloom at, bloom bytes, documents, tokens, bytes to a token, magic
 _INDEX = struct.Struct("<QIIQ")  # offset, bytes, entries, tokens before
 _BITS, _HASHES = 10, 7
@@ -204,78 +207,117 @@ class ShardReader:
 
 
 class Encoder:
-    """Token ids of texts, as the tokenizers library gives them, with memory of pieces.
+    """Token ids of texts, as the tokenizers library gives them, with memory of words.
 
     A text is cut before each single space that stands between two other
     characters that are no white space. The byte-level pre-tokenizer always cuts
     there as well and merges never cross its cuts, so the ids of the pieces are
-    the ids of the text. Texts with other runs of spaces are encoded whole. The
-    pieces known are bounded: two generations of ``most`` each. New pieces are
-    encoded many to a text, whose ids part again at each token that begins with
-    a space.
+    the ids of the text. Texts with other runs of spaces are encoded whole.
+
+    Texts go in parts of ``PART_BYTES``. The different words of a part are
+    encoded once, many to a text, whose ids part again at each token that begins
+    with a space; then Arrow strings their ids together. Words that occurred
+    twice in a part are remembered, ``most`` of them, in Arrow arrays too: beyond,
+    those stay that the latest part used.
 
     With ``special``, text that spells an added token (``<|endoftext|>``) becomes
     that token, as by the library's default; texts that hold one are encoded
     whole. Else it is text like any other.
     """
 
-    def __init__(self, path: str, most: int = 600_000, special: bool = False):
+    def __init__(self, path: str, most: int = 300_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = not special
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if special else []
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()] if special else []
+        self.whole = "|".join(["^$", "^ ", " $", "  ", f" [{_SPACES}]", f"[{_SPACES}] ", *map(_quoted, added)])
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.young, self.old = most, {}, {}  # word after a space -> ids of space and word
+        self.most = most
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # of a space and the word
         self.begins = np.zeros(self.model.get_vocab_size(), bool)
         self.begins[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level letter of a space
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> Iterator[array]:
         kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        known = {w: self.old[w] for w in words if w in self.old}
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 64):
-            known.update(zip(new[i : i + 64], self._parted(new[i : i + 64]), strict=True))
-        if len(self.young) + len(known) > self.most:
-            self.old, self.young = self.young, {}
-        self.young.update(known)
-        return known
-
-    def _parted(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.model.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        at = np.flatnonzero(self.begins[ids])
-        if len(at) != len(words) or at[0] or any(w[-1].isspace() for w in words):
-            return self._encode([" " + w for w in words])
-        raw, cuts = ids.tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            part = [t.split(" ") for t in texts[at : at + 64]]
-            plain = [bool(t) and "" not in w and _plain(t) and not any(a in t for a in self.added) for t, w in zip(texts[at : at + 64], part, strict=True)]
-            whole = iter(self._encode([w[0] if ok else t for t, w, ok in zip(texts[at : at + 64], part, plain, strict=True)]))
-            for words, ok in zip(part, plain, strict=True):
-                ids = next(whole)  # of the text, or of its first word
-                if not ok or len(words) == 1:
-                    yield ids
-                    continue
-                del words[0]
-                found = list(map(self.young.get, words))
-                if None in found:
-                    known = self._learn({w for w, f in zip(words, found, strict=True) if f is None})
-                    found = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
-                yield ids + b"".join(found)
-
-
-_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-
-
-def _plain(text: str) -> bool:
-    """No space stands next to other white space."""
-    return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES)
+        for i in range(0, len(texts), 64):
+            yield from (array(kind, e.ids) for e in self.model.encode_batch_fast(texts[i : i + 64], add_special_tokens=False))
+
+    def _alone(self, texts: pa.Array, before: str = "") -> pa.Array:
+        return pa.array([x.tobytes() for x in self._encode([before + t for t in texts.to_pylist()])], pa.large_binary())
+
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """The ids of each word after a space; none of them holds a space."""
+        tails = pc.match_substring_regex(words, f"[{_SPACES}]\\z")  # run into the space after them
+        at = np.flatnonzero(~tails.to_numpy(zero_copy_only=False))
+        joined = pa.ListArray.from_arrays(np.r_[np.arange(0, len(at), 64), len(at)].astype(np.int32), words.take(at))
+        flat = array("H" if self.width == 2 else "I")
+        for ids in self._encode([f" {t}" for t in pc.binary_join(joined, pa.scalar(" ", pa.large_string())).to_pylist()]):
+            flat.extend(ids)
+        ids = np.frombuffer(flat, f"<u{self.width}")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(at) or len(at) and starts[0]:
+            return self._alone(words, " ")
+        found = _pieces(ids, np.r_[starts, len(ids)] * self.width)
+        if len(at) == len(words):
+            return found
+        rest = np.flatnonzero(tails.to_numpy(zero_copy_only=False))
+        order = np.empty(len(words), np.int64)
+        order[np.r_[at, rest]] = np.arange(len(words))
+        return pa.concat_arrays([found, self._alone(words.take(rest), " ")]).take(pa.array(order))
+
+    def _known(self, words: pa.Array, counts: np.ndarray) -> pa.Array:
+        """The ids of each of different words after a space, which occur so many times; remembers those that occur again."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        learnt = self._spaced(words.filter(pa.array(new)))
+        place = np.where(new, len(self.ids) + np.cumsum(new) - 1, at.fill_null(0).to_numpy(zero_copy_only=False))
+        every = pa.concat_arrays([self.ids, learnt])
+        again = new & (counts > 1)
+        if len(self.words) + again.sum() > self.most:
+            keep = np.flatnonzero(~new | again)[: self.most]
+            self.words, self.ids = words.take(keep), every.take(pa.array(place[keep]))
+        else:
+            self.words, self.ids = pa.concat_arrays([self.words, words.filter(pa.array(again))]), pa.concat_arrays([self.ids, every.take(pa.array(place[again]))])
+        return every.take(pa.array(place))
+
+    def _part(self, texts: pa.Array) -> Iterator[bytes]:
+        whole = pc.match_substring_regex(texts, self.whole)
+        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        words, ends = lists.flatten(), lists.offsets.to_numpy()
+        firsts = ends[:-1] - ends[0]
+        own = self._alone(pc.if_else(whole, texts, words.take(pa.array(firsts))))  # of the text, or of its first word
+        is_first = np.zeros(len(words), bool)
+        is_first[firsts] = True
+        coded = words.filter(pa.array(~is_first)).dictionary_encode()
+        where = coded.indices.to_numpy()
+        known = self._known(coded.dictionary, np.bincount(where, minlength=len(coded.dictionary)))
+        order = np.empty(len(words), np.int64)
+        order[~is_first], order[is_first] = where, len(known) + np.arange(len(texts))
+        ids = pa.concat_arrays([known, own]).take(pa.array(order))
+        cuts = np.frombuffer(ids.buffers()[1], np.int64)[np.r_[firsts, len(words)] + ids.offset].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        yield from (bytes(data[a:b]) for a, b in zip(cuts, cuts[1:]))
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+            yield from self._part(texts.slice(at, end - at))
+            at = end
+
+
+_SPACES = "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace() and chr(i) != " ")
+
+
+def _quoted(text: str) -> str:
+    """A pattern that finds the text itself."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _pieces(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -310,8 +352,7 @@ def _write(path: str, vocabulary: str, end_id: int, shard_bytes: int, special: b
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for doc_id, data in zip(ids, enc.encode(texts), strict=True):
+            for doc_id, data in zip(ids, enc.encode(batch.column("text")), strict=True):
                 if writer is None:
                     file = f"{shard:06d}-{part:04d}-{task.taskAttemptId()}.sst"
                     out = fs.open_output_stream(f"{root}/{file}")
@@ -345,7 +386,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, id_c
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    manifest = materialize(ordered.mapInArrow(_write(path, vocabulary, end_id, shard_bytes, special), _MANIFEST), "token-manifest")
+    manifest = materialize(ordered.mapInArrow(lean(_write(path, vocabulary, end_id, shard_bytes, special)), _MANIFEST), "token-manifest")
     return manifest, path
 
 
@@ -384,7 +425,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     files = manifest.select("file", before.alias("before"))
     have = manifest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()  # one row
     tasks = max(1, min(have["n"], max(2 * spark.sparkContext.defaultParallelism, 4 * have["t"] // READ_BYTES)))
-    return files.repartitionByRange(tasks, "before", "file").mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(tasks, "before", "file").mapInArrow(lean(_read(path)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarray]:

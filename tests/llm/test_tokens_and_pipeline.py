@@ -1,7 +1,11 @@
 """op9: exact round trip; the pipeline, stage by stage."""
 
 import io
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +72,58 @@ def test_encoder_equals_the_library(vocabulary, whole, texts):
     assert got == [whole(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "bé", "a,\n", "c\u00a0", "'s", "1", "<|endoftext|>", "\u0120x", ""]), max_size=12).map(" ".join), max_size=9), st.integers(1, 40), st.integers(0, 4))
+def test_encoder_equals_the_library_part_by_part(vocabulary, texts, part, most):
+    """Texts in several parts, with words that are remembered and let go."""
+    from tokenizers import Tokenizer
+
+    model, own = Tokenizer.from_file(vocabulary), ts.Encoder(vocabulary, most=most, special=True)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ts, "PART_BYTES", part)
+        for _ in range(2):
+            assert [list(np.frombuffer(x, "<u2")) for x in own.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.words) == len(own.ids) <= most
+
+
+def test_few_calls_of_the_library(vocabulary):
+    """Words of a part are encoded together: 5,000 texts with 20,000 words in some 80 calls for first words and 5 for the others."""
+    enc, calls = ts.Encoder(vocabulary, special=True), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return self.model.encode_batch_fast(texts, **options)
+
+    enc.model = Counted(enc.model)
+    assert sum(1 for _ in enc.encode([" ".join(f"x{4 * i + k}" for k in range(5)) for i in range(5000)])) == 5000
+    assert len(calls) <= 90
+
+
+_HELD = """
+import sys, pyarrow as pa
+from lodeworks.llm import common, token_store as ts
+held = lambda: next(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) >> 10
+enc = ts.Encoder(sys.argv[1], special=True)
+run = lambda rows: (b for t in rows for b in [sum(map(len, enc.encode(t)))])
+start = held()
+texts = [[" ".join(f"w{i * 5000 + k}x{k}" for k in range(5000)) for i in range(j, j + 10)] for j in range(0, 100, 10)]
+given = held() - start
+done = sum(common.lean(run)(texts)) if hasattr(common, "lean") else sum(run(texts))
+print(done, held() - start - given)
+"""
+
+
+def test_a_waiting_worker_holds_little(vocabulary):
+    """After 500,000 different words, MB besides the texts: two workers for each executor share its memory with the JVM."""
+    root = str(Path(ts.__file__).parents[2])
+    done, held = subprocess.run([sys.executable, "-c", _HELD, vocabulary], cwd=root, check=True, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": root, "TOKENIZERS_PARALLELISM": "false"}).stdout.split()
+    assert int(done) > 0 and int(held) < 40
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
