@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, materialize, ship, small
+from .common import SPACE, lean, materialize, ship, small
 from .hashing import chunks, list_column, mix, ngrams, pair, to_lists
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     need = pairs.select("a", "block", F.col("b").alias("id")).unionByName(pairs.select("a", "block").distinct().withColumn("id", F.col("a")))
     rows = need.join(texts, F.col("id") == F.col("tid")).select("a", "block", "id", "text")
     sides = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("id") != F.col("a"))
-    return sides.select("a", "block", "id", word_hashes(F.col("text")).alias("wh")).mapInArrow(_verify(least), "a long, b long")
+    return sides.select("a", "block", "id", word_hashes(F.col("text")).alias("wh")).mapInArrow(lean(_verify(least)), "a long, b long")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,16 +340,16 @@ def _prefix_rows(members: DataFrame, labels: DataFrame, bodies: DataFrame, least
     per = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("m > 2 AND low <> high").select(F.col("h").alias("oh"))
     open_ = placed.join(per, F.col("h") == F.col("oh")).select(F.col("tid").alias("t")).distinct()
     rows = materialize(bodies.join(open_, F.col("tid") == F.col("t")).select("tid", "text"), "near-open").select("tid", word_hashes(F.col("text")).alias("wh"))
-    shingles = materialize(rows.mapInArrow(_shingles, "sh long, tid long, times int, n int, total int"), "near-shingles")
+    shingles = materialize(rows.mapInArrow(lean(_shingles), "sh long, tid long, times int, n int, total int"), "near-shingles")
     often = shingles.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("sh").alias("fsh"), "df")
     ordered = (
         shingles.join(often, F.col("sh") == F.col("fsh"))
         .groupBy("tid")
         .agg(F.any_value("n").alias("n"), F.any_value("total").alias("total"), F.array_sort(F.collect_list(F.struct("df", "sh", "times"))).alias("s"))
-        .join(rows.mapInArrow(_maps, "mtid long, map array<long>"), F.col("tid") == F.col("mtid"))
+        .join(rows.mapInArrow(lean(_maps), "mtid long, map array<long>"), F.col("tid") == F.col("mtid"))
         .select("tid", "n", "total", F.col("s.sh").alias("sh"), F.col("s.times").alias("times"), "map")
     )
-    return materialize(ordered.mapInArrow(_prefixes(least), "sh long, tid long, n int, rem int, mass double, heavy boolean, map array<long>"), "near-prefixes")
+    return materialize(ordered.mapInArrow(lean(_prefixes(least)), "sh long, tid long, n int, rem int, mass double, heavy boolean, map array<long>"), "near-prefixes")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,7 +367,7 @@ def _candidates(prefixes: DataFrame, labels: DataFrame, least: float, one: bool)
     dealt = rows.join(per, F.col("sh") == F.col("gsh")).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("side", "o")).withColumn("q", F.greatest("side", "o"))
     sides = each.select("sh", "p", "q", "tid", "label", "side", "n", "rem", "mass", "heavy", "map").repartition("sh", "p", "q").sortWithinPartitions("sh", "p", "q")
-    met = sides.mapInArrow(_met(least, one), "a long, b long, low long, high long, bound double")
+    met = sides.mapInArrow(lean(_met(least, one)), "a long, b long, low long, high long, bound double")
     if one:
         pairs = met.groupBy("low", "high").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     else:
@@ -410,7 +410,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"), text.alias("text"))
-    signed = keyed.select("doc_id", "k1", "k2", word_hashes(F.col("text")).alias("wh")).mapInArrow(_banded(bands, per_band), keyed.select("doc_id", "k1", "k2").schema.add("bands", T.ArrayType(T.LongType())))
+    signed = keyed.select("doc_id", "k1", "k2", word_hashes(F.col("text")).alias("wh")).mapInArrow(lean(_banded(bands, per_band)), keyed.select("doc_id", "k1", "k2").schema.add("bands", T.ArrayType(T.LongType())))
     texts = materialize(
         signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")).withColumn("tid", F.monotonically_increasing_id()),
         "near-texts",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialize, ship
+from .common import crc_fold, lean, materialize, ship
 
 #: Fourier features, folds, and the most labelled rows that are fitted (a fixed sample by hash beyond).
 FEATURES, FOLDS, MAX_ROWS = 256, 4, 200_000
@@ -89,7 +89,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, key (md5 of the text) and x, the statistics, of every document."""
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
-    return materialize(src.mapInArrow(_measure, "doc_id long, key string, x array<float>"), "quality-statistics")
+    return materialize(src.mapInArrow(lean(_measure), "doc_id long, key string, x array<float>"), "quality-statistics")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -187,7 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
     features = Features(*(np.array([moments[f"{k}{i}"] for i in range(n)], float) for k in "ms"))
     d = FEATURES + 1
-    sums = sum(np.frombuffer(r["sums"]).reshape(FOLDS, d + 1, d + 1) for r in train.select("x", "y", "fold").mapInArrow(_sums(features), "sums binary").collect())  # at most PARTS matrices for each fold
+    sums = sum(np.frombuffer(r["sums"]).reshape(FOLDS, d + 1, d + 1) for r in train.select("x", "y", "fold").mapInArrow(lean(_sums(features)), "sums binary").collect())  # at most PARTS matrices for each fold
     whole = sums.sum(0)
     rows = whole[d - 1, d - 1]  # the constant feature's sum of squares
 
@@ -205,7 +205,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     penalty = min(_GRID, key=out_of_fold) if rows >= 2 * FOLDS else 0.1
     parts = np.array([solve(whole - s, penalty) for s in sums])
     binned = (
-        train.mapInArrow(_scored(features, parts, ["y"]), "y double, raw double")
+        train.mapInArrow(lean(_scored(features, parts, ["y"])), "y double, raw double")
         .groupBy(F.floor((F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) + 0.5) * (_BINS / 2)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
         .orderBy("bin")
@@ -214,7 +214,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     # a step of a bin a hundredth as strong as one row, so no end is certain
     x, y = isotonic(*(np.array(v, float) for v in zip(*[((r["bin"] + 0.5) * 2 / _BINS - 0.5, r["n"], r["ones"]) for r in binned], strict=True)))
     model = solve(whole, penalty)
-    scored = stats.mapInArrow(_scored(features, model[None], ["doc_id", "key"], (x, y)), "doc_id long, key string, score double")
+    scored = stats.mapInArrow(lean(_scored(features, model[None], ["doc_id", "key"], (x, y))), "doc_id long, key string, score double")
     return scored.select("doc_id", "key", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 import subprocess
 import sys
 import zlib
@@ -124,6 +125,22 @@ def test_a_waiting_worker_holds_little(vocabulary):
     assert int(done) > 0 and int(held) < 40
 
 
+@pytest.mark.parametrize("module", ["quality", "near_dedup", "token_store"])
+def test_arrow_steps_of_the_pipeline_give_memory_back(module):
+    steps = re.findall(r"mapInArrow\((\w+)", (Path(ts.__file__).parent / f"{module}.py").read_text())
+    assert steps and set(steps) == {"lean"}
+
+
+def test_lean_trims_once_also_when_cut_short(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "trim", lambda: done.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and done == [1]
+    cut = common.lean(lambda batches: batches)(iter([1, 2]))
+    next(cut)
+    cut.close()
+    assert done == [1, 1]
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
