@@ -2,18 +2,21 @@
 
 Hops are joins. A trace of depth d is at most d joins of a frontier with the
 edges, whatever the number of nodes, and the frontier is a DataFrame throughout.
+A frontier goes to the edges, not the edges to it: see ``touching``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 MAX_DEPTH = 3
+#: Up to so many ids are broadcast as they are; for more, a hash filter of at most so many words of 64 bits (32 MB).
+FEW, MOST_WORDS = 100_000, 2**22
 
 
 def edges_out(edges: DataFrame, node: str) -> DataFrame:
@@ -59,31 +62,63 @@ def with_payload(rows: DataFrame, symbols: DataFrame, id_col: str = "node") -> D
     )
 
 
+def _slot(id_: Column, words: int) -> tuple[Column, Column, Column]:
+    """Where the hash filter keeps an id: its row, the word in that row, and the two bits of that word."""
+    h = F.xxhash64(id_)
+    word = F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(words - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftright(word, 6), word.bitwiseAND(F.lit(63)).cast("int"), bit(h).bitwiseOR(bit(F.shiftright(h, 6)))
+
+
+def hash_filter(ids: DataFrame, words: int) -> DataFrame:
+    """slot, words: the bits of ids(at) in rows of 64 words, a power of two in all."""
+    slot, word, bits = _slot(F.col("at"), words)
+    of_word = ids.select(slot.alias("slot"), word.alias("word"), bits.alias("bits")).repartition("slot").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+    of_slot = of_word.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    return of_slot.select("slot", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long"))).alias("words"))
+
+
+def touching(edges: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Edges whose column is among ids(id), which have been cut.
+
+    What is sent to every task is the ids, or a filter of their hashes that
+    never outgrows 32 MB and lets few other edges pass; those few and the
+    matches are then joined exactly. As a semi-join with a broadcast side it
+    is pushed below the DISTINCT and unions that make up edges, so only edges
+    that match are shuffled, not all of them at each level.
+    """
+    ids = ids.select(F.col("id").cast(edges.schema[column].dataType).alias("at"))
+    n = ids.count()
+    if n <= FEW:
+        return edges.join(F.broadcast(ids), F.col(column) == F.col("at"), "left_semi")
+    words = min(max(1 << (n // 2).bit_length(), 64), MOST_WORDS)
+    slot, word, bits = _slot(F.col(column), words)
+    likely = edges.join(F.broadcast(hash_filter(ids, words)), (slot == F.col("slot")) & (F.col("words")[word].bitwiseAND(bits) == bits), "left_semi")
+    return likely.join(ids.hint("merge"), F.col(column) == F.col("at"), "left_semi")
+
+
 def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", depth: int = 1) -> DataFrame:
     """Breadth-first trace from starts(id): level, edge_id, direction, node, relationship_type.
 
     upstream follows edges from source to target (what a symbol uses), downstream
     the other way (what uses it), both does either. Depth is clamped to 1..3. One
     row per (edge, direction), at the level it is first met; nodes met before
-    aren't expanded again, so cycles end. A level is written before the next one
-    starts, so each level reads the edges once.
+    aren't expanded again, so cycles end. A level and the frontier after it are
+    written before the next one starts, so each level reads the edges once.
     """
     depth = min(max(depth, 1), MAX_DEPTH)
     if direction == "both":
         return trace(edges, starts, "upstream", depth).unionByName(trace(edges, starts, "downstream", depth))
     here, there = ("source_symbol_id", "target_symbol_id") if direction == "upstream" else ("target_symbol_id", "source_symbol_id")
-    frontier = seen = starts.select("id").distinct()
+    frontier = seen = cut(starts.select("id").distinct())
     levels = []
     for level in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("id").alias("at")), F.col(here) == F.col("at")).select(
-            F.lit(level).alias("level"), F.col("id").alias("edge_id"), F.lit(direction).alias("direction"), F.col(there).alias("node"), "relationship_type"
-        )
+        step = touching(edges, here, frontier).select(F.col("id").alias("edge_id"), F.col(there).alias("node"), "relationship_type")
         if level < depth:
             step = cut(step)
-        levels.append(step)
-        if level < depth:
-            frontier = step.select(F.col("node").alias("id")).distinct().join(seen, "id", "left_anti")
+            frontier = cut(step.select(F.col("node").alias("id")).distinct().join(seen, "id", "left_anti"))
             seen = seen.union(frontier)
+        levels.append(step.select(F.lit(level).alias("level"), "edge_id", F.lit(direction).alias("direction"), "node", "relationship_type"))
     return reduce(DataFrame.unionByName, levels)
 
 

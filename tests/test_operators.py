@@ -1,3 +1,4 @@
+import re
 import subprocess
 
 import numpy as np
@@ -10,7 +11,7 @@ from lodeworks.functions import text as tx
 from lodeworks.functions import vectors
 from lodeworks.operators import architecture as arch
 from lodeworks.operators import chunking, extraction, graph, search
-from lodeworks.sources import files, git_log, registry, schema, snapshot
+from lodeworks.sources import files, git_log, registry, schema, snapshot, star
 from lodeworks.streaming import watcher
 
 
@@ -54,6 +55,39 @@ def test_trace_equals_breadth_first(spark):
     assert got == want
 
 
+def breadth_first(pairs, starts, depth):
+    want, frontier, seen = set(), set(starts), set(starts)
+    for level in range(1, depth + 1):
+        step = [(a, b) for a, b in pairs if a in frontier]
+        want |= {(f"{a}->{b}:References", level) for a, b in step}
+        frontier = {b for _, b in step} - seen
+        seen |= frontier
+    return want
+
+
+@pytest.mark.parametrize("words", [64, 2**12])
+def test_trace_of_large_frontiers(spark, monkeypatch, words):
+    """Through the hash filter, full to the brim or hardly used: no edge more, none less; null ends match nothing."""
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "MOST_WORDS", words)
+    rng = np.random.default_rng(2)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 4000, (6000, 2))})
+    starts = [f"n{i}" for i in range(0, 4000, 4)]
+    e = edges(spark, pairs).union(spark.createDataFrame([("x", None, "n0", "References"), ("y", "n0", None, "References")], "id string, source_symbol_id string, target_symbol_id string, relationship_type string"))
+    got = graph.trace(e, spark.createDataFrame([(x,) for x in starts], "id string"), "upstream", 3).collect()
+    assert {(r["edge_id"], r["level"]) for r in got} == breadth_first(pairs, starts, 3) | {("y", 1)} and len(got) == len({r["edge_id"] for r in got})
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_trace_shuffles_matching_edges_alone(spark, sf_dir, monkeypatch, few):
+    """The frontier meets the line items below the DISTINCT that makes edges of them."""
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    starts = spark.createDataFrame([("o:1",), ("o:2",)], "id string")
+    plan = graph.trace(star.relationships(spark, sf_dir), starts, "upstream", 1)._jdf.queryExecution().executedPlan().toString()
+    scans = [m.start() for m in re.finditer(r"FileScan parquet \[l_orderkey", plan)]
+    assert len(scans) == 2 and all(plan.rindex("LeftSemi", 0, at) > plan.rindex("Exchange hashpartitioning", 0, at) for at in scans)
+
+
 def test_test_coverage_prefers_stored_edges(spark):
     s = symbols(spark, ["A", "ATests", "B", "BTest"])
     e = edges(spark, [("ATests", "A"), ("BTest", "B")]).unionByName(edges(spark, [("B", "A")], "TestCoverage"))
