@@ -107,10 +107,13 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", dept
     written before the next one starts, so each level reads the edges once.
     """
     depth = min(max(depth, 1), MAX_DEPTH)
-    if direction == "both":
-        return trace(edges, starts, "upstream", depth).unionByName(trace(edges, starts, "downstream", depth))
+    first = cut(starts.select("id").distinct())
+    return reduce(DataFrame.unionByName, [_trace(edges, first, d, depth) for d in (("upstream", "downstream") if direction == "both" else (direction,))])
+
+
+def _trace(edges: DataFrame, first: DataFrame, direction: str, depth: int) -> DataFrame:
     here, there = ("source_symbol_id", "target_symbol_id") if direction == "upstream" else ("target_symbol_id", "source_symbol_id")
-    frontier = seen = cut(starts.select("id").distinct())
+    frontier = seen = first
     levels = []
     for level in range(1, depth + 1):
         step = touching(edges, here, frontier).select(F.col("id").alias("edge_id"), F.col(there).alias("node"), "relationship_type")

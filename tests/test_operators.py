@@ -78,6 +78,20 @@ def test_trace_of_large_frontiers(spark, monkeypatch, words):
     assert {(r["edge_id"], r["level"]) for r in got} == breadth_first(pairs, starts, 3) | {("y", 1)} and len(got) == len({r["edge_id"] for r in got})
 
 
+def test_trace_both_computes_its_starts_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            met.add(len(f))
+            yield f
+
+    starts = start(spark, "A").mapInPandas(seen, "id string")
+    got = graph.trace(edges(spark, [("A", "B"), ("B", "C"), ("D", "A"), ("C", "D")]), starts, "both", 2).collect()
+    assert {(r["edge_id"][:4], r["level"], r["direction"]) for r in got} == {("A->B", 1, "upstream"), ("B->C", 2, "upstream"), ("D->A", 1, "downstream"), ("C->D", 2, "downstream")}
+    assert met.value == 1
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_trace_shuffles_matching_edges_alone(spark, sf_dir, monkeypatch, few):
     """The frontier meets the line items below the DISTINCT that makes edges of them."""
