@@ -213,6 +213,13 @@ def test_extraction_of_other_languages():
     assert extraction.extract('<p id="x">', "Html")[0][0]["name"] == "x"
 
 
+def test_extraction_spreads_files_of_one_split(spark):
+    f = spark.range(200).coalesce(1).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("file_path"), F.lit("def f():\n    g()\n").alias("content"), F.lit("Python").alias("language"))
+    for found in (extraction.extract_symbols(f), extraction.extract_references(f)):
+        rows = found.select("file_path", F.spark_partition_id().alias("task")).collect()
+        assert len(rows) == 200 and len({r["task"] for r in rows}) >= spark.sparkContext.defaultParallelism
+
+
 def test_chunks(spark):
     f = spark.createDataFrame([("a.cs", CS, "CSharp"), ("n.txt", "note\nmore", "Text"), ("blank.txt", "  ", "Text")], "file_path string, content string, language string")
     s = extraction.with_symbol_ids(extraction.extract_symbols(f.where("language = 'CSharp'")))
